@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import leaks, near, quality, tokens
 from .substrings import remove_repeats
 
 
@@ -12,12 +13,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("class_size").cast("long").alias("class_size"))
+
+
 QUERIES = {
+    "op3_token_records": op3_token_records,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_decontamination": op5_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL: dict = {}
