@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, near, quality, tokens
-from .substrings import remove_repeats
+from . import articles, fingerprints, hosts, leaks, mixing, near, pseudonyms, quality, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +18,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(table(spark, sf_dir, "pages"))
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -32,8 +39,30 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.fingerprint_with_edits(table(spark, sf_dir, "documents"))
+    own, edited, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return out.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.as_text(own).alias("fingerprint"),
+        fingerprints.as_text(edited).alias("edited_fingerprint"),
+        fingerprints.resemblance(own, edited).alias("near_edited"),
+        fingerprints.resemblance(own, after).alias("near_next"),
+    )
+
+
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +70,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_trust": op1_url_trust,
+    "op2_source_mix": op2_source_mix,
     "op3_token_records": op3_token_records,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_decontamination": op5_decontamination,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_pseudonyms": op7_pseudonyms,
+    "op8_article_text": op8_article_text,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL: dict = {}
+ORACLE_SQL = {
+    "op2_source_mix": mixing.mix_sql(),
+    "op9_substring_dedup": substrings.SQL,
+}

@@ -200,3 +200,21 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 16) -> DataFrame
     rows = docs.select("doc_id", "text")
     joined = rows.join(cuts, (rows.doc_id == cuts.cut_id) & (F.xxhash64(rows.text) == cuts.cut_key), "left")
     return joined.select("doc_id", "text", "cuts").mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+#: The digests of remove_repeats over the table documents, for DuckDB.
+SQL = """
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM split WHERE len(words) >= 50)),
+first AS (SELECT h, min(doc_id) AS least FROM windows GROUP BY h),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM windows JOIN first USING (h) WHERE least < doc_id),
+placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM split),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT split.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept ON split.doc_id = kept.doc_id"""
