@@ -1,6 +1,6 @@
 """Supervised subword embeddings that score the quality of a text.
 
-Features are words, pairs of neighbouring words and runs of 3 to 5 bytes of a
+Features are words, pairs of neighbouring words (and one that says they are equal) and runs of 3 to 5 bytes of a
 word (with the white space before and after it), hashed to buckets. A document
 is the average of its features' vectors; a softmax layer gives the score. The
 model is trained on the driver by stochastic gradient descent over a sample of
@@ -22,6 +22,8 @@ BUCKET_BITS, DIMENSIONS, EPOCHS, RATE, SEED = 16, 16, 12, 0.4, 7
 SAMPLE = 1000
 THRESHOLD = 0.7
 GRAMS = (3, 4, 5)
+#: The bucket of a word that follows itself.
+TWICE = 0
 
 
 def _features(words: W.Words, breaks: np.ndarray):
@@ -33,6 +35,9 @@ def _features(words: W.Words, breaks: np.ndarray):
         pair = words.hash[:-1] * W.U(0xC2B2AE3D27D4EB4F) + words.hash[1:]
         same = row[:-1] == row[1:]
         yield row[:-1][same], W.mix(pair[same], 37) >> down
+        # A word after itself is one feature whatever the word, for texts that repeat words never seen before.
+        twice = row[:-1][same & (words.hash[:-1] == words.hash[1:])]
+        yield twice, np.full(len(twice), TWICE, np.uint64)
     data = np.where(breaks[words.data], np.uint8(0x20), words.data)
     sums = W.running(data.astype(np.uint64) + np.uint64(1), W.BYTE_BASE)
     # From each byte of a word, and from the break before it, up to the break after it.
