@@ -118,21 +118,14 @@ def widened(long: DataFrame) -> DataFrame:
     return long.groupBy("series_id", "step").agg(pick(0.1).alias("p10"), pick(0.5).alias("median"), pick(0.9).alias("p90"))
 
 
-def pretrained(name: str) -> Callable[[], Callable]:
-    """A loader of an external pretrained model, for `hosted`; its library is imported on the executors only."""
+def pretrained(factory: str, *arguments) -> Callable[[], Callable]:
+    """A loader of an external model, for `hosted`: "module:function", imported and called on the executors only, gives predict."""
 
     def load():
-        from chronos import BaseChronosPipeline
+        import importlib
 
-        pipeline = BaseChronosPipeline.from_pretrained(name)
-
-        def predict(target, past, future, horizon, levels):
-            import torch
-
-            quantiles, _ = pipeline.predict_quantiles(torch.tensor(target)[None], prediction_length=horizon, quantile_levels=levels)
-            return quantiles[0].numpy().T
-
-        return predict
+        module, _, name = factory.partition(":")
+        return getattr(importlib.import_module(module), name)(*arguments)
 
     return load
 
