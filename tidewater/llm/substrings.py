@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .packing import packed, unpacked
 from .scratch import written
 
 #: 3 rows of 2**26 cells, one bit each after merging: 24 MB, whatever the input.
@@ -169,10 +170,9 @@ def repeated_spans(docs: DataFrame, size: int = 50, gram: int = 16) -> DataFrame
 
 
 def _apply(batches):
-    names = ["doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept"]
     for batch in batches:
-        out: dict = {k: [] for k in names if k != "text"}
-        for doc_id, text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
+        out: dict = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept")}
+        for doc_id, text, cuts in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)), batch.column(2), strict=True):
             words = (text or b"").split()
             total = len(words)
             if cuts.is_valid and len(cuts.values):
@@ -197,9 +197,9 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 16) -> DataFrame
     by its own text, and never against one another. Extra columns are ignored.
     """
     cuts = repeated_spans(docs, size, gram).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("cuts")).withColumnsRenamed({"doc_id": "cut_id", "text_key": "cut_key"})
-    rows = docs.select("doc_id", "text")
-    joined = rows.join(cuts, (rows.doc_id == cuts.cut_id) & (F.xxhash64(rows.text) == cuts.cut_key), "left")
-    return joined.select("doc_id", "text", "cuts").mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    rows = packed(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), "doc_id", "text_key")
+    joined = rows.join(cuts, (rows.doc_id == cuts.cut_id) & (rows.text_key == cuts.cut_key), "left")
+    return joined.select("doc_id", "packed", "cuts").mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 #: The digests of remove_repeats over the table documents, for DuckDB.
