@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 def _scores(batch_texts, numbers: np.ndarray, bias: float) -> np.ndarray:
     breaks = W.white_space()
     out = []
-    for _, words in W.chunks(batch_texts, breaks, 1 << 20):
+    for _, words in W.chunks(batch_texts, breaks):
         n = len(words.first)
         total, many = np.zeros(n), np.zeros(n)
         for row, bucket in _features(words, breaks):

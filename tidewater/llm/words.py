@@ -13,7 +13,8 @@ import numpy as np
 #: Odd multipliers (64-bit) and their inverses modulo 2**64 make the running sums reversible.
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
-CHUNK_BYTES = 1 << 21
+#: Just under a power of two, to which the tables of powers are rounded up.
+CHUNK_BYTES = (1 << 20) - 16
 U = np.uint64
 
 _powers: dict = {}
