@@ -200,6 +200,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_
         import uuid
 
         import pyarrow.parquet as pq
+        from pyarrow import fs
         from pyspark import TaskContext
 
         encode = encoder(tokenizer)
@@ -212,13 +213,11 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_
             out.close()
             pq.write_table(pa.table({"doc_id": pa.array([x[0] for x in index], pa.int64()), "offset": [x[1] for x in index], "length": [x[2] for x in index], "n_tokens": [x[3] for x in index]}), f"{root}/{names[1]}.index", filesystem=store)
             for name, end in ((f"{names[1]}.index", "index.parquet"), (names[1], "records")):
-                if store.get_file_info(f"{root}/{names[0]}.{end}").type != pa.fs.FileType.NotFound:
+                if store.get_file_info(f"{root}/{names[0]}.{end}").type != fs.FileType.NotFound:
                     store.delete_file(f"{root}/{names[0]}.{end}")
                 store.move(f"{root}/{name}", f"{root}/{names[0]}.{end}")
             return pa.RecordBatch.from_pydict({"shard": [names[0]], "part": pa.array([part], pa.int32()), "piece": pa.array([piece], pa.int32()), "records": [len(index)], "tokens": [sum(x[3] for x in index)]})
 
-        import pyarrow.fs  # noqa: F401
-
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for low, ids, sizes in encode(batch.column(1)):
