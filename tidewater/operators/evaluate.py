@@ -67,7 +67,7 @@ def mae_by_state(rows: DataFrame, flag: str = "open", by: Iterable[str] = ("seri
 
 
 def wql_summary(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(by context: series, mean and median WQL; the best context: least mean, ties to the shorter one) of rows context_len, series_id, wql."""
+    """(by context: series, mean and median WQL; the best context: least mean to six places, ties to the shorter one) of rows context_len, series_id, wql."""
     summary = rows.groupBy("context_len").agg(F.count("*").alias("series"), F.avg("wql").alias("mean_wql"), F.percentile("wql", 0.5).alias("median_wql"))
-    best = summary.orderBy("mean_wql", "context_len").limit(1)
+    best = summary.orderBy(F.round("mean_wql", 6), "context_len").limit(1)
     return summary, best

@@ -516,7 +516,7 @@ def e12_mae_split(spark, d):
     return out.select("series_id", *[F.round(c, 4).alias(c) for c in out.columns[1:]])
 
 
-@query("SELECT context_len, round(avg(wql), 4) AS mean_wql FROM context_wql GROUP BY context_len ORDER BY avg(wql), context_len LIMIT 1")
+@query("SELECT context_len, round(avg(wql), 6) AS mean_wql FROM context_wql GROUP BY context_len ORDER BY round(avg(wql), 6), context_len LIMIT 1")
 def e13_best_context(spark, d):
     _, best = evaluate.wql_summary(runs.scored_contexts(_series(spark, d)))
     return best.select("context_len", F.round("mean_wql", 6).alias("mean_wql"))
