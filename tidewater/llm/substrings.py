@@ -5,9 +5,10 @@ hash among its `gram`-word pieces, so equal windows share that piece: the number
 of documents with the piece is never below that of documents with the window.
 Pass 1 counts pieces in count-min sketches, one a task, merged by cell range.
 Pass 2 lists, for pieces estimated to be in two documents or more, the run of
-windows filed under them, and groups those exactly. The sketch has a fixed size,
-which bounds what is broadcast: a fuller one lets more windows through to the
-exact grouping and loses none.
+windows filed under them, and groups those exactly. The merged sketch is folded
+to the least size at which few cells are taken, so what is broadcast follows the
+data up to a fixed bound; a fuller sketch lets more windows through to the exact
+grouping and loses none.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from . import words as W
 from .packing import packed, unpacked
 from .scratch import written
 
-#: 3 rows of 2**26 cells, one bit each after merging: 24 MB, whatever the input.
-ROWS, CELL_BITS, SLICE_BITS = 3, 26, 20
+#: 3 rows of 2**29 cells, one bit each after merging, folded to 2**23 cells at least: 3 to 192 MB.
+ROWS, CELL_BITS, SLICE_BITS = 3, 29, 23
+#: Rows are folded while no more than one cell in this many is taken.
+SPARE = 16
 #: 36 bits of a hash and 28 bits of a place decide which piece of a window is smallest.
 PLACE = np.uint64((1 << 28) - 1)
 
@@ -90,33 +93,54 @@ def _partial_sketch(size: int, gram: int):
 
 
 def _merge(batches):
-    """Adds up the cells of each slice as they come; bits of the cells hit twice."""
-    counts: dict = {}
+    """Adds up the cells of each slice; bits of the cells hit twice, compressed, and how many. Rows come slice by slice."""
+    import zstandard
+
+    schema = pa.schema([("row", pa.int32()), ("slice", pa.int32()), ("taken", pa.int64()), ("bits", pa.binary())])
+    small = zstandard.ZstdCompressor(level=1)
+    at, have = None, np.zeros(1 << SLICE_BITS, np.uint8)
+
+    def done():
+        bits = have > 1
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*at, int(bits.sum()), small.compress(np.packbits(bits).tobytes())), schema.types, strict=True)], schema=schema)
+
     for batch in batches:
         for row, part, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            have = counts.setdefault((row, part), np.zeros(1 << SLICE_BITS, np.uint8))
+            if at is not None and at != (row, part):
+                yield done()
+                have[:] = 0
+            at = row, part
             cell, n = np.unique(np.frombuffer(cells.as_buffer(), np.uint32), return_counts=True)
             have[cell] = np.minimum(have[cell] + n.astype(np.uint8), 2)
-    for (row, part), have in counts.items():
-        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([part], pa.int32()), pa.array([np.packbits(have > 1).tobytes()], pa.binary())], names=["row", "slice", "bits"])
+    if at is not None:
+        yield done()
 
 
 def sketch(docs: DataFrame, size: int, gram: int) -> list[bytes]:
-    """ROWS bit strings: the cells that two documents hit."""
+    """ROWS bit strings of equal length, a power of two: the cells that two documents hit.
+
+    A cell of a folded row is taken if any of the cells folded into it is, so no
+    cell that two documents hit is lost.
+    """
+    import zstandard
+
     partial = docs.select("text").mapInArrow(_partial_sketch(size, gram), "row int, slice int, cells binary")
-    merged = partial.repartition("row", "slice").mapInArrow(_merge, "row int, slice int, bits binary")
-    slices = 1 << (CELL_BITS - SLICE_BITS)
-    rows = [np.zeros(slices << (SLICE_BITS - 3), np.uint8) for _ in range(ROWS)]
-    for x in merged.collect():  # ROWS * 2**CELL_BITS bits
-        width = 1 << (SLICE_BITS - 3)
-        rows[x["row"]][x["slice"] * width : (x["slice"] + 1) * width] = np.frombuffer(x["bits"], np.uint8)
+    ordered = partial.repartition("row", "slice").sortWithinPartitions("row", "slice")
+    merged = written(ordered.mapInArrow(_merge, "row int, slice int, taken long, bits binary"), "sketch")
+    most = max((x["taken"] for x in merged.groupBy("row").agg(F.sum("taken").alias("taken")).collect()), default=0)
+    bits = next((b for b in range(SLICE_BITS, CELL_BITS) if most * SPARE <= 1 << b), CELL_BITS)
+    slices, width, large = 1 << (bits - SLICE_BITS), 1 << (SLICE_BITS - 3), zstandard.ZstdDecompressor()
+    rows = [np.zeros(slices * width, np.uint8) for _ in range(ROWS)]
+    for x in merged.filter("taken > 0").toLocalIterator():  # ROWS * 2**(CELL_BITS - SLICE_BITS) rows of a megabyte at most
+        at = x["slice"] % slices * width
+        rows[x["row"]][at : at + width] |= np.frombuffer(large.decompress(x["bits"]), np.uint8)
     return [r.tobytes() for r in rows]
 
 
 def _repeated(piece: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
     found = np.ones(len(piece), bool)
     for row, b in enumerate(bits):
-        cell = _cells(piece, row)
+        cell = _cells(piece, row) & np.uint64(8 * len(b) - 1)
         found &= (b[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1 > 0
     return found
 
