@@ -85,3 +85,19 @@ def test_leaks_odd_rows(spark, odd, empty):
     assert len(got) == odd.count() and [r.doc_id for r in got if r.contaminated] == [3]
     assert leaks.find_leaks(empty, items).count() == 0
     assert not any(r.contaminated for r in leaks.find_leaks(odd, items.limit(0)).collect())
+
+
+def test_longest_stretch_like_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        same = rng.random(rng.integers(0, 60)) < rng.choice([0.6, 0.75, 0.85])
+        every = [(j - i, -i) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if 5 * same[i:j].sum() >= 4 * (j - i)]
+        begin, end = leaks._longest(same)
+        assert (end - begin, -begin) == max(every, default=(0, 0))
+
+
+def test_passages_between_changed_words(spark, docs_of):
+    item = [f"w{i}" for i in range(46)]
+    words = [f"new{i}" if 12 <= i < 17 or 29 <= i < 34 else w for i, w in enumerate(item)]
+    rows = [(1, " ".join(words), "s"), (2, " ".join(w if i % 2 else "x" for i, w in enumerate(item)), "s")]
+    assert [r.contaminated for r in leaks.find_leaks(docs_of(rows), benchmark(spark, [(7, " ".join(item))])).orderBy("doc_id").collect()] == [True, False]

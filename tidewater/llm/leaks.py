@@ -3,8 +3,8 @@
 A seed is a fixed mask over consecutive words; it hashes the words under its
 ones and ignores those under its zeros, so a changed word spoils only the seeds
 that look at it. Hashes of all benchmark items are joined with those of every
-place of every document. Around each hit, on its diagonal, the best scoring
-stretch (+1 for an equal word, -2 for another) must be long and equal enough.
+place of every document. On the diagonal of each hit, the longest stretch that is
+equal enough must be long enough; no stretch hides another.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ MASKS = ("11101100101", "11010011011", "10110101011")
 BLOCK_BYTES = 32 << 20
 #: Shortest stretch, in words (or the whole item, if shorter), and its least share of equal words.
 LEAST_WORDS, LEAST_EQUAL = 12, 0.8
+#: What a changed word costs against +1 for an equal one, so that a stretch of LEAST_EQUAL sums to 0.
+CHANGED = round(LEAST_EQUAL / (1 - LEAST_EQUAL))
 
 
 def _lower(texts):
@@ -43,6 +45,15 @@ def _seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return W.mix(out, len(mask))
 
 
+def _longest(same: np.ndarray) -> tuple[int, int]:
+    """The first longest stretch with at least LEAST_EQUAL equal words, among all there are."""
+    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -CHANGED))])
+    # For each end the earliest begin whose sum is no larger; the least sums so far never rise.
+    begin = np.searchsorted(-np.minimum.accumulate(score), -score, "left")
+    end = int((np.arange(len(score)) - begin).argmax())
+    return int(begin[end]), end
+
+
 class Index:
     """Seeds of benchmark items. Items shorter than a mask are one seed as a whole."""
 
@@ -87,12 +98,9 @@ class Index:
             text, item = words.hash, self.items[i]
             a, b = max(start, int(words.first[r])), min(start + len(item), int(words.last[r]))
             same = text[a:b] == item[a - start : b - start]
-            score = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-            rise = score - np.minimum.accumulate(score)
-            end = int(rise.argmax())
-            begin = int(score[: end + 1].argmin())
-            equal = int(same[begin:end].sum())
-            if end - begin >= min(LEAST_WORDS, len(item)) and equal >= LEAST_EQUAL * (end - begin):
+            begin, end = _longest(same)
+            if end - begin >= min(LEAST_WORDS, len(item)):
+                equal = int(same[begin:end].sum())
                 self._add(out, r, i, a + begin - int(words.first[r]), a + end - int(words.first[r]), equal)
         for size, keys in self.short.items():
             grams, whole = words.grams(size)
