@@ -103,6 +103,23 @@ def test_pseudonyms(spark, docs_of):
     assert pseudonyms.pseudonymised(docs, "another key").orderBy("doc_id").first().text != one.text
 
 
+def test_cards_beside_other_digits(spark, docs_of):
+    alone = "4111 1111 1111 1111"
+    around = ["{} 05/27", "{} 123", "Order 12 {}", "2025 {}", "12 34 56 78 {} 05 27 88", "{} 4041 8949 7460 8795", "{} 2024-05-27", "{} 29.02.1984", "{} 25.86.162.211", "7 {} 1", "{} 123-45-6789", "{} 12ab@mail.org"]
+    rows = [(0, alone, "s"), *((i, text.format(alone), "s") for i, text in enumerate(around, 1)), (90, "4111111111111111 123", "s"), (91, "4041 8949 7460 8795", "s"), (92, "1234 5678 " * 300, "s")]
+    docs = docs_of(rows)
+    out = pseudonyms.pseudonymised(docs)
+    assert no_python(out)
+    got = {r.doc_id: r for r in out.collect()}
+    new = got[0].text
+    assert new != alone and got[90].text == new.replace(" ", "") + " 123" and got[91].text in got[6].text
+    for i, text in enumerate(around, 1):
+        begin, end = text.split("{}")
+        assert got[i].text.startswith(begin + new) and (i in (6, 7, 8, 9, 11, 12)) == (got[i].text != begin + new + end)
+        assert got[i].n_replaced == 1 + (i in (6, 7, 8, 9, 11, 12))
+    assert {r.doc_id: r.text for r in pseudonyms.pseudonymised(out, back=True).filter("doc_id < 90").collect()} == {i: t for i, t, _ in rows if i < 90}
+
+
 def test_pseudonyms_are_a_permutation(spark):
     df = spark.range(9801).selectExpr("id as doc_id", "format_string('%03d-%02d-0001', 1 + id div 99, 1 + id % 99) as text").filter("doc_id div 99 <> 665")
     out = pseudonyms.pseudonymised(df)

@@ -34,10 +34,15 @@ KINDS = {
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
+# A whole run of digit groups, up to a value of another kind that goes on after it; which groups are cards is tried later.
+KINDS["card"] = rf"(?<![0-9])[0-9](?:[0-9]|[ -](?!{KINDS['email']}|{KINDS['hex']}|{KINDS['dmy']}|{KINDS['ip']}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}(?![0-9])|(?=[0-9 -]{{3,8}}\.){KINDS['phone']})[0-9]){{12,}}+"
 #: The back reference counts groups in the whole pattern; this is the only group there is.
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+OTHERS = "|".join(f"(?:{p})" for kind, p in KINDS.items() if kind != "card")
+#: Sizes of digit groups as cards are printed; such a card goes before a span that is valid but begins earlier.
+PRINTED = "^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
+CARD_DIGITS = 13, 19
 
 
 def _let(value: Column, f) -> Column:
@@ -181,6 +186,70 @@ def _date(m: Column, key: str, back: bool, form: Column | str) -> Column:
     return _let(F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(EPOCH).cast("date")).cast("long"), rewritten)
 
 
+def _cards(groups: Column) -> Column:
+    """(begin, size) of the cards in a run of digit groups with their separators, in order; none overlap."""
+    least, most = CARD_DIGITS
+    span = lambda i, n: F.array_join(F.slice(groups, i + 1, n), "")
+
+    def sizes(i):
+        """Numbers of groups from group i on that are a valid card, longest first."""
+
+        def valid(n):
+            digits = _digits(span(i, n))
+            return F.size(digits).between(least, most) & (_luhn(digits) == 0)
+
+        return F.filter(F.sequence(F.least(F.lit(most), F.size(groups) - i), F.lit(1), F.lit(-1)), valid)
+
+    def printed(i, n):
+        return F.rlike(F.regexp_replace(span(i, n), "^[ -]", ""), F.lit(PRINTED))
+
+    def take(state, i):
+        at = lambda j: F.get(state["all"], j)
+        # The shortest, as three more digits are more often a check value than a card's end.
+        own = F.array_min(F.filter(at(i), lambda n: printed(i, n)))
+        # Not one that reaches into a printed card beginning later.
+        free = F.get(F.filter(at(i), lambda n: ~F.exists(F.sequence(i, i + n - 1), lambda j: (j > i) & F.exists(at(j), lambda k: printed(j, k)))), 0)
+        chosen = F.coalesce(own, free)
+        fits = (i >= state["upto"]) & chosen.isNotNull()
+        return F.when(fits, F.struct(state["all"].alias("all"), (i + chosen).alias("upto"), F.concat(state["taken"], F.array(F.struct(i.alias("begin"), chosen.alias("size")))).alias("taken"))).otherwise(state)
+
+    places = F.sequence(F.lit(0), F.size(groups) - 1)
+    start = F.struct(F.transform(places, sizes).alias("all"), F.lit(0).alias("upto"), F.array().cast("array<struct<begin:int,size:int>>").alias("taken"))
+    return F.aggregate(places, start, take, lambda s: s["taken"])
+
+
+def _piece(text: Column, value: Column | bool) -> Column:
+    return F.struct(text.alias("text"), F.lit(value).alias("value"))
+
+
+def _run(m: Column) -> Column:
+    """(text, value) of the pieces of a run of digit groups: cards, and between them values of other kinds and what stays."""
+
+    def pieces(groups):
+        text = lambda begin, end: F.array_join(F.slice(groups, begin + 1, end - begin), "")
+
+        def around(cards):
+            after = lambda i: F.coalesce(F.get(cards, i)["begin"] + F.get(cards, i)["size"], F.lit(0))
+
+            def one(card, i):
+                value = text(card["begin"], card["begin"] + card["size"])
+                before = F.concat(text(after(i - 1), card["begin"]), F.regexp_extract(value, "^[ -]?", 0))
+                return F.array(F.struct(before.alias("before"), F.regexp_replace(value, "^[ -]", "").alias("card")))
+
+            rest = F.struct(text(after(F.size(cards) - 1), F.size(groups)).alias("before"), F.lit("").alias("card"))
+            return F.concat(F.flatten(F.transform(cards, one)), F.array(rest))
+
+        return _let(_cards(groups), around)
+
+    def others(x):
+        both = F.arrays_zip(F.split(x["before"], OTHERS, -1).alias("stays"), F.regexp_extract_all(x["before"], F.lit(OTHERS), F.lit(0)).alias("found"))
+        cut = F.flatten(F.transform(both, lambda y: F.array(_piece(y["stays"], False), _piece(F.coalesce(y["found"], F.lit("")), True))))
+        return F.concat(cut, F.array(_piece(x["card"], True)))
+
+    # Each group holds the separator before it.
+    return F.flatten(F.transform(_let(F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0)), pieces), others))
+
+
 def pseudonym(m: Column, key: str = KEY, back: bool = False) -> Column:
     """The pseudonym of one matched value; `back` gives the value of a pseudonym."""
     is_a = lambda kind: m.rlike(f"^(?:{KINDS[kind]})$")
@@ -210,8 +279,11 @@ def pseudonymised(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFr
     some = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
     none = F.array().cast("array<string>")
     out = docs.withColumn(found, F.when(some, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none))
-    out = out.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key, back))).otherwise(none))
+    is_run = lambda m: m.rlike(f"^{KINDS['card']}$") & ~m.rlike(f"^{KINDS['hex']}$")
+    cut = F.transform(found, lambda m: F.when(is_run(m), _run(m)).otherwise(F.array(_piece(m, True))))
+    each = F.transform(cut, lambda run: F.transform(run, lambda x: F.struct(x["text"].alias("old"), F.when(x["value"], pseudonym(x["text"], key, back)).otherwise(x["text"]).alias("new"))))
+    out = out.withColumn(new, F.when(F.size(found) > 0, each).otherwise(F.array().cast("array<array<struct<old:string,new:string>>>")))
     out = out.withColumn(parts, F.when(F.size(found) > 0, F.split("text", ANY, -1)).otherwise(none))
-    joined = F.array_join(F.transform(F.col(parts), lambda p, i: F.concat(p, F.coalesce(F.get(F.col(new), i), F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
+    joined = F.array_join(F.transform(F.col(parts), lambda p, i: F.concat(p, F.coalesce(F.array_join(F.transform(F.get(F.col(new), i), lambda x: x["new"]), ""), F.lit("")))), "")
+    changed = F.size(F.filter(F.flatten(new), lambda x: x["old"] != x["new"]))
     return out.withColumn("n_replaced", changed.cast("long")).withColumn("text", F.when(F.size(found) > 0, joined).otherwise(F.col("text"))).drop(found, new, parts)
