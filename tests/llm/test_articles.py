@@ -25,9 +25,19 @@ def test_cases(page):
     assert articles.main_text(page) == CASES[page]
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "post-comments-open", "search-result"])
+def test_marked_wrappers_of_the_article(name):
+    text = "Long text here and more and more text to read."
+    other = "<div class=comments><p>me too</p></div>"
+    assert articles.main_text(f"<body><div class='{name}'><article><p>{text}</p></article>{other}</div></body>") == text
+    assert articles.main_text(f"<body><div id=a class='{name}'><div class='{name}'><p>{text}</p></div>{other}</div><div class=ad>buy</div></body>") == text
+    assert articles.main_text(f"<body><article><p>{text}</p></article><div class=comments><article>{text * 3}</article></div></body>") == text
+
+
 def test_deep_pages_do_not_recurse():
     assert articles.main_text("<div>" * 30000 + "x") == "x"
     assert articles.main_text("<b><p>" * 20000 + "x") == "x"
+    assert articles.main_text("<div class=sidebar>" * 30000 + "x") == "x"
 
 
 def test_pages_of_the_table(spark, sf_dir):

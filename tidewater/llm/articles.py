@@ -1,8 +1,8 @@
 """The main text of a web page by composite text density.
 
 A tolerant reader turns the page into a tree. Menus, forms, scripts and other
-parts that are no article by their tag, role, class or id are cut first. For each
-node the density is its characters per tag, lowered by the share that stands in
+parts that are no article by their tag, role, class or id are cut first; by role,
+class or id none that the article lies in. For each node the density is its characters per tag, lowered by the share that stands in
 links; a node's density sum adds up its children. The subtree of largest sum is
 the article; the least density on its path from the body is the threshold that
 blocks beside the path must reach to be taken along.
@@ -27,18 +27,20 @@ SECTIONS = frozenset(["html", "body", "main", "article", "section", "nav", "asid
 SIBLING = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 #: Words of class, id or role, between separators, that mark parts which are no article.
 MARKS = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|sidebar|side-bar|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-header|page-header|comments?|commentlist|disqus|respond|reply|replies|related|recommended|share|sharing|social|subscribe|newsletter|signup|login|search|skip|toolbar|widget|pagination|pager|complementary|contentinfo|alert)(?:$|[\s_-])")
+MODIFIER = re.compile(r"(?i)(?:has|have|no|not|with|without)[-_]")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)|</[^>]*(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "items", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked", "holds", "plain")
 
-    def __init__(self, tag: str, up: Node | None, cut: bool = False):
-        self.tag, self.up, self.items, self.cut = tag, up, [], cut
+    def __init__(self, tag: str, up: Node | None, cut: bool = False, marked: bool = False):
+        self.tag, self.up, self.items, self.cut, self.marked = tag, up, [], cut, marked
 
 
 def _cut(tag: str, rest: str, inside: frozenset | set) -> bool:
+    """Whether a part is no article by its tag or is hidden."""
     if tag in DROPPED or tag == "header" and "article" not in inside:
         return True
     if tag in ("html", "body", "article", "main") or not rest:
@@ -46,11 +48,55 @@ def _cut(tag: str, rest: str, inside: frozenset | set) -> bool:
     for name, *values in ATTRIBUTE.findall(rest):
         value = next((v for v in values if v), "")
         name = name.lower()
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value) or name in ("class", "id", "role") and MARKS.search(value):
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
 
 
+def _marked(tag: str, rest: str) -> bool:
+    """Whether class, id or role say that a part is no article; names like has-sidebar say nothing of the part itself."""
+    if tag in ("html", "body", "article", "main") or not rest:
+        return False
+    for name, *values in ATTRIBUTE.findall(rest):
+        if name.lower() in ("class", "id", "role") and any(MARKS.search(x) and not MODIFIER.match(x) for x in next((v for v in values if v), "").split()):
+            return True
+    return False
+
+
+def _cut_marked(root: Node) -> None:
+    """Cuts marked parts, but none that holds an article or main if none stands outside or, on a page without, most of its unlinked characters."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, linked = stack.pop()
+        linked = linked or node.tag == "a"
+        order.append(node)
+        node.holds = node.tag in ("article", "main")
+        node.plain = 0 if linked else sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
+        stack += [(x, linked) for x in node.items if isinstance(x, Node) and not x.cut]
+    for node in reversed(order):
+        for x in node.items:
+            if isinstance(x, Node) and not x.cut:
+                node.holds = node.holds or x.holds
+                node.plain += x.plain
+    named, stack = False, [root]
+    while stack:
+        # What no mark surrounds, and the outermost marked parts; then on within those that are kept.
+        outer = []
+        while stack:
+            node = stack.pop()
+            if node.marked:
+                outer.append(node)
+                continue
+            named = named or node.tag in ("article", "main")
+            stack += [x for x in node.items if isinstance(x, Node) and not x.cut]
+        for x in outer:
+            if not named and (x.holds if root.holds else 2 * x.plain > root.plain):
+                x.marked = False
+                stack.append(x)
+            else:
+                x.cut = True
+
+
 def parse(page: str) -> Node:
     """The tree of a page. Unclosed and stray tags are mended; a tag cut off by the end of the page is no text."""
     root = node = Node("#root", None)
@@ -99,7 +145,7 @@ def parse(page: str) -> Node:
             while up is not None:
                 inside.add(up.tag)
                 up = up.up
-        child = Node(name, node, _cut(name, rest, inside))
+        child = Node(name, node, _cut(name, rest, inside), _marked(name, rest))
         node.items.append(child)
         if name in RAW:
             end = re.compile(rf"(?i)</{name}[\s/>]").search(page, at)
@@ -107,6 +153,7 @@ def parse(page: str) -> Node:
             at = page.find(">", end.start()) + 1 or size if end else size
         elif name not in VOID and not token.endswith("/>"):
             node = child
+    _cut_marked(root)
     return root
 
 
