@@ -276,7 +276,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFr
     as they are (a column n_replaced is replaced); an empty table gives no rows.
     """
     found, new, parts = "__found", "__new", "__parts"
-    some = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
+    some = F.coalesce(F.col("text").rlike("[0-9@]|password=|AKIA|[a-f]{32}"), F.lit(False))
     none = F.array().cast("array<string>")
     out = docs.withColumn(found, F.when(some, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none))
     is_run = lambda m: m.rlike(f"^{KINDS['card']}$") & ~m.rlike(f"^{KINDS['hex']}$")
