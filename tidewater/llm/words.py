@@ -1,23 +1,24 @@
 """Whole batches of text as numpy arrays of word hashes.
 
-A word is a run of bytes that are not breaks. Its hash is a polynomial over its
-bytes modulo 2**64, taken from one running sum over the batch, then mixed; no
-Python loop sees a word. Null texts count as empty. Texts are cut into chunks
-by bytes, never inside a text, so that memory follows the longest text.
+A word is a run of bytes that are not breaks. Its hash takes eight bytes a round,
+scrambled with what came before, so that no rearrangement of letters or of whole
+blocks gives the same hash; words beyond 64 bytes are digested by the library.
+No Python loop sees a shorter word. Null texts count as empty. Texts are cut into
+chunks by bytes, never inside a text, so that memory follows the longest text.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-#: Odd multipliers (64-bit) and their inverses modulo 2**64 make the running sums reversible.
-BYTE_BASE = 0x9E3779B97F4A7C15
-WORD_BASE = 0xD6E8FEB86659FD93
-#: Just under a power of two, to which the tables of powers are rounded up.
-CHUNK_BYTES = (1 << 20) - 16
 U = np.uint64
-
-_powers: dict = {}
+CHUNK_BYTES = 1 << 19
+#: Longer words are digested one by one.
+ROUND, ROUNDS = 8, 8
+#: The lowest k bytes of a number, for k from 0 to 8.
+LOWEST = np.array([(1 << 8 * k) - 1 for k in range(ROUND + 1)], U)
 
 
 def white_space() -> np.ndarray:
@@ -32,36 +33,58 @@ def not_alphanumeric() -> np.ndarray:
     return np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2**64, kept between calls."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        steps = np.full(size, base, U)
-        steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
-    return have[:n]
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x + U((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64))
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-def running(values: np.ndarray, base: int) -> np.ndarray:
-    """Prefix sums of values[i] * base**i, one longer than values."""
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers(base, len(values)), out=out[1:])
+    x ^= x >> U(30)
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in their order."""
+    return mix(mix(a, 3) ^ b, 4)
+
+
+def eight(data: np.ndarray) -> np.ndarray:
+    """For each place the eight bytes from it on as one number; behind the end come zeros."""
+    padded = np.zeros(len(data) + ROUND, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes data[start:end], which depend on nothing else."""
+    size = end - start
+    out = mix(size.astype(U), 1)
+    blocks = eight(data)
+    live = None
+    for k in range(ROUNDS):
+        if live is None:
+            out = mix(out ^ (blocks[start] & LOWEST[np.minimum(size, ROUND)]), 2)
+        else:
+            out[live] = mix(out[live] ^ (blocks[start[live] + ROUND * k] & LOWEST[np.minimum(size[live] - ROUND * k, ROUND)]), 2)
+        live = np.flatnonzero(size > ROUND * (k + 1)) if live is None else live[size[live] > ROUND * (k + 1)]
+        if not len(live):
+            return out
+    for i in live.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
     return out
 
 
-def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Hashes of values[start:end] that do not depend on where they stand."""
-    inverse = powers(pow(base, -1, 1 << 64), len(sums))
-    return mix((sums[end] - sums[start]) * inverse[start], 1)
+def grams(hashes: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """For each size, ascending, the hash of that many neighbours from each place on that has them: pairs of pairs, by doubling."""
+    have, own, out = 1, hashes, []
+    for n in sizes:
+        while have * 2 <= n:
+            own = paired(own[:-have], own[have:]) if len(own) > have else own[:0]
+            have *= 2
+        rest = n - have
+        out.append(own if not rest else paired(own[:-rest], own[rest:]) if len(own) > rest else own[:0])
+    return out
 
 
 class Words:
@@ -80,7 +103,7 @@ class Words:
         self.end = np.flatnonzero(inside & ~after[1:]) + 1
         self.first = np.searchsorted(self.start, offsets[:-1])
         self.last = np.searchsorted(self.start, offsets[1:])
-        self.hash = spans(running(data.astype(U) + U(1), BYTE_BASE), self.start, self.end, BYTE_BASE)
+        self.hash = hashed(data, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.hash)
@@ -93,12 +116,28 @@ class Words:
         """For each word the text it is in."""
         return np.repeat(np.arange(len(self.first)), self.count)
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of n words from each word on, and whether they lie in one text."""
-        size = max(0, len(self) - n + 1)
-        at = np.arange(size)
-        whole = at + n <= np.repeat(self.last, self.count)[:size]
-        return spans(running(self.hash, WORD_BASE), at, at + n, WORD_BASE), whole
+    def grams(self, *sizes: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each size the hash of that many words from each word on, and whether they lie in one text."""
+        last = np.repeat(self.last, self.count)
+        return [(x, np.arange(len(x)) + n <= last[: len(x)]) for n, x in zip(sizes, grams(self.hash, *sizes), strict=True)]
+
+    def pieces(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of each run of n words; of a text with fewer, all its words are one. Texts without words have none."""
+        count = self.count
+        many = np.where(count > 0, np.maximum(1, count - n + 1), 0)
+        row = np.repeat(np.arange(len(count)), many)
+        begin = np.cumsum(many) - many
+        at = np.arange(len(row)) - begin[row] + self.first[row]
+        out = np.zeros(len(row), U)
+        whole = (count >= n)[row]
+        out[whole] = grams(self.hash, n)[0][at[whole]]
+        few = np.flatnonzero((count > 0) & (count < n))
+        key = mix(count[few].astype(U), 6)
+        for k in range(n - 1):
+            more = count[few] > k
+            key[more] = paired(key[more], self.hash[self.first[few[more]] + k])
+        out[begin[few]] = key
+        return row, out
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
