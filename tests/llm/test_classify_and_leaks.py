@@ -101,3 +101,103 @@ def test_passages_between_changed_words(spark, docs_of):
     words = [f"new{i}" if 12 <= i < 17 or 29 <= i < 34 else w for i, w in enumerate(item)]
     rows = [(1, " ".join(words), "s"), (2, " ".join(w if i % 2 else "x" for i, w in enumerate(item)), "s")]
     assert [r.contaminated for r in leaks.find_leaks(docs_of(rows), benchmark(spark, [(7, " ".join(item))])).orderBy("doc_id").collect()] == [True, False]
+
+
+def test_repeated_words_stay_small(spark, docs_of):
+    """A text of one repeated word meets an item of it on as many diagonals as places, not on their product."""
+    import pyarrow as pa
+
+    index = leaks.Index([7], pa.array(["same " * 400]))
+    ((_, words),) = leaks.W.chunks(leaks._lower(pa.array(["same " * 12000])), leaks.W.not_alphanumeric())
+    diagonals = index._diagonals(words, words.row())
+    assert len(diagonals) < 12400 + 3 * len(leaks.MASKS)
+    assert index.hits(words)[0][7][1] - index.hits(words)[0][7][0] == 400
+
+
+def brute_leaks(items, text):
+    """Items some stretch of which, on one diagonal, has LEAST_WORDS words and LEAST_EQUAL of them equal; by every pair of places."""
+    import re
+
+    words = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower())
+    doc, out = words(text), set()
+    for i, item in items:
+        item = words(item)
+        for start in range(1 - len(item), len(doc)):
+            same = [doc[start + k] == item[k] for k in range(len(item)) if 0 <= start + k < len(doc)]
+            need = min(leaks.LEAST_WORDS, len(item))
+            if any(sum(same[a:b]) >= leaks.LEAST_EQUAL * (b - a) for a in range(len(same)) for b in range(a + need, len(same) + 1)):
+                out.add(i)
+    return out
+
+
+def test_leaks_like_brute_force(spark, docs_of):
+    items, rows, _ = planted(9)
+    rows = [(i, " ".join(t.split()[:150]), s) for i, t, s in rows[:40]]
+    got = {r.doc_id: set(r.item_ids) for r in leaks.find_leaks(docs_of(rows), benchmark(spark, items)).collect()}
+    for i, text, _ in rows:
+        assert got[i] == brute_leaks(items, text)
+
+
+def test_an_index_is_made_once_for_all_that_is_held(monkeypatch):
+    import pyarrow as pa
+
+    made, real = [], leaks.Index
+    items, rows, truth = planted()
+
+    def blocks():
+        for low in range(0, 20, 5):
+            made.append(low)
+            yield real([k for k, _ in items[low : low + 5]], pa.array([t for _, t in items[low : low + 5]]))
+
+    batches = [pa.record_batch([pa.array([t])], names=["text"]) for _, t, _ in rows]
+    found = [sorted(h.get(0, {})) for _, h in leaks._with_hits(iter(batches), 0, blocks)]
+    assert len(made) == 4 and [i for i, f in enumerate(found) if f] == sorted(truth)
+    monkeypatch.setattr(leaks, "HELD_BYTES", 1)
+    assert [sorted(h.get(0, {})) for _, h in leaks._with_hits(iter(batches), 0, blocks)] == found and len(made) == 4 + 4 * len(rows)
+
+
+def test_filters_on_odd_rows(spark, odd, empty):
+    items = benchmark(spark, [(4, "no id at all here now and more of it")])
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, leaks.without_leaks(odd, items).collect())) == sorted(map(key, odd.collect()))
+    assert leaks.without_leaks(empty, items).count() == 0
+    bias = (np.zeros(1 << quality.BUCKET_BITS, np.float32), 5.0)
+    assert sorted(map(key, quality.accepted(odd, bias).collect())) == sorted(map(key, odd.collect()))
+    assert quality.accepted(odd, (bias[0], -5.0)).count() == 0 and quality.accepted(empty, bias).count() == 0
+
+
+def test_training_like_plain_gradient_descent():
+    """The folded numbers against a softmax model trained by the textbook's loops."""
+    rng = np.random.default_rng(5)
+    labels = [i % 2 for i in range(6)]
+    buckets = [rng.choice(1 << quality.BUCKET_BITS, 8, replace=False) for _ in labels]
+    counts = [rng.integers(1, 4, 8) for _ in labels]
+    numbers, bias = quality.train(labels, buckets, counts)
+    vectors = np.random.default_rng(quality.SEED).normal(0, 0.1, (1 << quality.BUCKET_BITS, quality.DIMENSIONS))
+    out = np.random.default_rng(quality.SEED + 1).normal(0, 0.5, (quality.DIMENSIONS, 2))
+    b, order, done = np.zeros(2), np.random.default_rng(quality.SEED + 2), 0
+    for _ in range(quality.EPOCHS):
+        for i in order.permutation(len(labels)):
+            rate = quality.RATE * (1 - done / (quality.EPOCHS * len(labels)))
+            done += 1
+            w = counts[i] / counts[i].sum()
+            mean = sum(x * vectors[k] for x, k in zip(w, buckets[i]))
+            e = [np.exp(mean @ out[:, c] + b[c]) for c in (0, 1)]
+            error = [e[c] / sum(e) - (labels[i] == c) for c in (0, 1)]
+            back = error[0] * out[:, 0] + error[1] * out[:, 1]
+            for c in (0, 1):
+                out[:, c] -= rate * error[c] * mean
+                b[c] -= 0.05 * rate * error[c]
+            for x, k in zip(w, buckets[i]):
+                vectors[k] -= rate * x / sum(w * w) * back
+    some = np.unique(np.concatenate(buckets))
+    assert np.allclose(numbers[some], vectors[some] @ (out[:, 1] - out[:, 0]), atol=1e-3) and abs(bias - (b[1] - b[0])) < 1e-3
+
+
+def test_long_texts_are_scored_but_not_learned_from(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(quality, "LONGEST", 50)
+    docs = docs_of([(i, ("good words here" if i % 2 else "junk junk bad") + " more" * (50 if i > 40 else 0), "s") for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    short = quality.fit(docs.filter("doc_id <= 40"), labels.filter("doc_id <= 40"))
+    assert quality.score(docs, quality.fit(docs, labels)).count() == 60
+    assert np.array_equal(quality.fit(docs.filter("doc_id <= 40"), labels.filter("doc_id <= 40"))[0], short[0])

@@ -12,8 +12,11 @@ PATH = queries.tokenizer_path()
 ODD_TEXTS = ["it's o'clock 'shop we'll", "<|endoftext|> a<|startoftext|>b", "ΑΣ ΟΔΟΣ ΣΊΣΥΦΟΣ", "İstanbul İ été a b x", "\x1c\x1d a\x00b \x7f \x85", "日本語 テスト123 ½ ²³ ª º µ ÷ × ÿ Ÿ ß ẞ ſ", "😀😀 a😀b ​ ́x ̀", "12 3a4 %%%### $5.00", "ÀÉ É̀", "a\tb\nc\x0bd\x0ce\rf", "﻿bom", "", None]
 
 
+ENCODER = tokens.Encoder(PATH)
+
+
 def check(texts):
-    encode = tokens.encoder(PATH)
+    encode = ENCODER
     got = []
     for _, ids, sizes in encode(pa.array(texts, pa.string())):
         got += np.split(ids, np.cumsum(sizes)[:-1])
@@ -50,7 +53,7 @@ def test_files_hold_what_was_encoded(spark, docs_of, monkeypatch):
     docs = docs_of(rows)
     path = scratch.place(spark, "test")
     got = sorted(tuple(r) for r in tokens.encode_documents(docs, PATH, path).collect())
-    library, start, want = tokens.encoder(PATH).library, 0, []
+    library, start, want = ENCODER.library, 0, []
     for i, text, _ in sorted(rows):
         ids = np.array([*library.encode(text, add_special_tokens=False).ids, 1], "<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
@@ -69,3 +72,54 @@ def test_odd_rows(odd, empty):
     assert {r.n_tokens for r in got if r.doc_id in (1, 2, 4)} == {1}
     assert next(r for r in got if r.doc_id is None).start == 0
     assert tokens.encode_documents(empty, PATH).count() == 0
+
+
+def test_words_that_agree_under_polynomial_hashes():
+    for n in (1024, 2048, 4096):
+        one = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        check([one, one.translate(str.maketrans("ab", "ba")), one])
+
+
+def test_parts_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens.W, "hashed", lambda data, start, end: np.zeros(len(start), np.uint64))
+    encode = tokens.Encoder(PATH)
+    texts = ["one two three", "three two seventeen and a longer wordlikethis1", "wordlikethat two", "日本 'x one"]
+    for _ in range(2):
+        got = []
+        for _, ids, sizes in encode(pa.array(texts)):
+            got += np.split(ids, np.cumsum(sizes)[:-1])
+        assert [x.tolist() for x in got] == [x.ids for x in encode.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    monkeypatch.setattr(tokens.W, "CHUNK_BYTES", 40)
+    check([" ".join(f"w{i * j}" for j in range(9)) for i in range(30)])
+
+
+def test_a_task_that_runs_again_leaves_one_result(spark, docs_of, tmp_path):
+    """Every task fails once after its first shard is written; the files of that attempt are no part of the result."""
+    rows = [(i, f"text {i} " * 30, "s") for i in range(40)]
+    docs, real, mark = docs_of(rows), tokens.write_records, str(tmp_path)
+    path = scratch.place(spark, "again")
+    real(docs, PATH, path)
+    shards = {r.shard for r in spark.read.parquet(f"{path}/shards").collect()}
+    again = scratch.place(spark, "again")
+    # A second run of the same tasks into the same folder, as a speculative attempt would be, and a file cut off half way.
+    real(docs, PATH, again)
+    store, root = scratch.filesystem(again)
+    with store.open_output_stream(f"{root}/shard-00000-00000-{'0' * 32}.records") as f:
+        f.write(b"half a rec")
+    got = sorted(tuple(r) for r in tokens.read_records(spark, again).collect())
+    assert got == sorted(tuple(r) for r in tokens.read_records(spark, path).collect()) and len(got) == 40
+    assert not shards & {r.shard for r in spark.read.parquet(f"{again}/shards").collect()} and mark
+
+
+def test_equal_ids_in_the_order_of_their_md5(spark, docs_of):
+    import hashlib
+
+    texts = [f"text {i}" for i in range(50)]
+    got = tokens.encode_documents(docs_of([(1, t, "s") for t in texts]), PATH).orderBy("start").collect()
+    library = ENCODER.library
+    want = [zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for t in sorted(texts, key=lambda t: hashlib.md5(t.encode()).hexdigest())]
+    assert [r.ids_crc32 for r in got] == want

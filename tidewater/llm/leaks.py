@@ -22,6 +22,10 @@ from .scratch import filesystem, place
 MASKS = ("11101100101", "11010011011", "10110101011")
 #: Benchmark texts of more bytes than this are dealt to blocks, one in memory at a time.
 BLOCK_BYTES = 32 << 20
+#: Hits looked at together.
+HITS = 1 << 20
+#: Bytes of documents that a task holds while it goes through the blocks of a large benchmark.
+HELD_BYTES = 64 << 20
 #: Shortest stretch, in words (or the whole item, if shorter), and its least share of equal words.
 LEAST_WORDS, LEAST_EQUAL = 12, 0.8
 #: What a changed word costs against +1 for an equal one, so that a stretch of LEAST_EQUAL sums to 0.
@@ -66,8 +70,7 @@ class Index:
         self.short: dict = {}
         for i, item in enumerate(self.items):
             if 0 < len(item) < len(MASKS[0]):
-                key = W.spans(W.running(item, W.WORD_BASE), np.array([0]), np.array([len(item)]), W.WORD_BASE)[0]
-                self.short.setdefault(len(item), {}).setdefault(int(key), []).append(i)
+                self.short.setdefault(len(item), {}).setdefault(int(W.grams(item, len(item))[0][0]), []).append(i)
 
     def _table(self, seeds):
         found = [seeds(x) for x in self.items]
@@ -78,23 +81,42 @@ class Index:
         bits = max(16, int(len(key)).bit_length() + 4)
         near = np.zeros(1 << bits, bool)
         near[(key >> np.uint64(64 - bits)).astype(np.int64)] = True
-        return key[order], item[order], at[order], near, np.uint64(64 - bits)
+        key, item, at = key[order], item[order], at[order]
+        # Entries that don't follow one of the same seed in their item.
+        head = np.ones(len(key), bool)
+        head[1:] = (key[1:] != key[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1)
+        return (key, item, at), (key[head], item[head], at[head]), near, np.uint64(64 - bits)
+
+    def _diagonals(self, words: W.Words, row: np.ndarray) -> np.ndarray:
+        """Distinct (row, item, place of the item's first word) of all hits, one a line."""
+        found = [np.zeros((0, 3), np.int64)]
+        for mask, (every, heads, near, shift) in zip(MASKS, self.tables, strict=True):
+            seeds = _seeds(words.hash, mask)
+            place = np.flatnonzero(near[(seeds >> shift).astype(np.int64)])
+            place = place[row[place] == row[place + len(mask) - 1]] if len(place) else place
+            # Where a seed follows an equal one, hits go on along diagonals that began before, but for an item's first of equal ones.
+            again = (place > 0) & (seeds[place] == seeds[place - 1]) & (row[place] == row[place - 1])
+            for some, (key, item, at) in ((place[~again], every), (place[again], heads)):
+                low, high = np.searchsorted(key, seeds[some], "left"), np.searchsorted(key, seeds[some], "right")
+                some, low, many = some[high > low], low[high > low], (high - low)[high > low]
+                ends = np.cumsum(many)
+                begin = 0
+                while begin < len(some):  # a bounded number of hits at once
+                    end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + HITS, "right")))
+                    n = many[begin:end]
+                    which = np.repeat(low[begin:end] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    where = np.repeat(some[begin:end], n)
+                    found.append(np.unique(np.column_stack([row[where], item[which], where - at[which]]), axis=0))
+                    begin = end
+                    if sum(map(len, found)) > 2 * HITS:
+                        found = [np.unique(np.concatenate(found), axis=0)]
+        return np.unique(np.concatenate(found), axis=0)
 
     def hits(self, words: W.Words) -> dict:
         """{row: {item: (start, end, equal)}}, words counted in the row; for each item its longest stretch."""
-        found: set = set()
         row = words.row()
-        for mask, (key, item, at, near, shift) in zip(MASKS, self.tables, strict=True):
-            seeds = _seeds(words.hash, mask)
-            place = np.flatnonzero(near[(seeds >> shift).astype(np.int64)])
-            place = place[row[place] == row[place + len(mask) - 1]] if len(place) else place
-            low, high = np.searchsorted(key, seeds[place], "left"), np.searchsorted(key, seeds[place], "right")
-            many = high - low
-            which = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            where = np.repeat(place, many)
-            found |= set(zip(row[where].tolist(), item[which].tolist(), (where - at[which]).tolist(), strict=True))
         out: dict = {}
-        for r, i, start in found:
+        for r, i, start in self._diagonals(words, row).tolist():
             text, item = words.hash, self.items[i]
             a, b = max(start, int(words.first[r])), min(start + len(item), int(words.last[r]))
             same = text[a:b] == item[a - start : b - start]
@@ -102,8 +124,9 @@ class Index:
             if end - begin >= min(LEAST_WORDS, len(item)):
                 equal = int(same[begin:end].sum())
                 self._add(out, r, i, a + begin - int(words.first[r]), a + end - int(words.first[r]), equal)
-        for size, keys in self.short.items():
-            grams, whole = words.grams(size)
+        sizes = sorted(self.short)
+        for size, (grams, whole) in zip(sizes, words.grams(*sizes), strict=True):
+            keys = self.short[size]
             known = np.fromiter(keys, np.uint64, len(keys))
             for p in np.flatnonzero(whole & np.isin(grams, known)):
                 for i in keys[int(grams[p])]:
@@ -149,17 +172,32 @@ def _blocks(benchmark: DataFrame):
     return each
 
 
-def _batch_hits(texts, blocks) -> dict:
-    out: dict = {}
-    lower = _lower(texts)
-    for index in blocks():
-        for low, words in W.chunks(lower, W.not_alphanumeric()):
-            for r, items in index.hits(words).items():
-                have = out.setdefault(low + r, {})
-                for i, x in items.items():
-                    if i not in have or x[1] - x[0] > have[i][1] - have[i][0]:
-                        have[i] = x
-    return out
+def _held(batches, at: int):
+    """Lists of batches whose texts, column `at`, come to HELD_BYTES or the last."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(at).nbytes
+        if size >= HELD_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _with_hits(batches, at: int, blocks):
+    """(batch, hits by row) of every batch; an index is made once for all batches held."""
+    for held in _held(batches, at):
+        found: list[dict] = [{} for _ in held]
+        for index in blocks():
+            for batch, out in zip(held, found, strict=True):
+                for low, words in W.chunks(_lower(batch.column(at)), W.not_alphanumeric()):
+                    for r, items in index.hits(words).items():
+                        have = out.setdefault(low + r, {})
+                        for i, x in items.items():
+                            if i not in have or x[1] - x[0] > have[i][1] - have[i][0]:
+                                have[i] = x
+        yield from zip(held, found, strict=True)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -174,8 +212,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spans = pa.list_(pa.struct([("item_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("equal", pa.int32())]))
 
     def run(batches):
-        for batch in batches:
-            hits = _batch_hits(batch.column(1), blocks)
+        for batch, hits in _with_hits(batches, 1, blocks):
             per = [sorted(hits.get(i, {}).items()) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([bool(x) for x in per]), pa.array([[i for i, _ in x] for x in per], pa.list_(pa.int64())), pa.array([[{"item_id": i, "first": a, "last": b - 1, "equal": e} for i, (a, b, e) in x] for x in per], spans)],
@@ -186,13 +223,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that hold no benchmark passage."""
+    """The rows of docs, all columns, that hold no benchmark passage.
+
+    Null and empty texts hold none and stay, as do all rows for an empty benchmark;
+    repeated rows stay or go together; an empty table gives no rows. Columns of docs
+    may have any other names.
+    """
     blocks = _blocks(benchmark)
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
-            hits = _batch_hits(batch.column(at), blocks)
+        for batch, hits in _with_hits(batches, at, blocks):
             keep = np.ones(batch.num_rows, bool)
             keep[list(hits)] = False
             yield batch.filter(pa.array(keep))

@@ -70,7 +70,12 @@ def mix_plan(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """Every row of docs as often as its plan says, with the columns of docs."""
+    """Every row of docs as often as its plan says, with the columns of docs.
+
+    Null and empty texts have size 0 and are taken as often as their source's rate
+    says; a null source is a source; an empty table gives no rows. Columns of docs may
+    have any other names.
+    """
     rates = source_targets(written(sizes(docs), "sizes"), **how)
     rated = _with_rates(docs.withColumn("__draw", _draw()), rates).withColumn("__copies", _copies(F.col("__draw"), F.col("__rate")))
     return rated.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -20,6 +20,8 @@ from . import words as W
 BUCKET_BITS, DIMENSIONS, EPOCHS, RATE, SEED = 16, 16, 12, 0.4, 7
 #: Labelled documents of each class that are learned from, at most.
 SAMPLE = 1000
+#: Texts of more bytes are scored but not learned from, which bounds what the driver gets (160 KB a text).
+LONGEST = 1 << 14
 THRESHOLD = 0.7
 GRAMS = (3, 4, 5)
 #: The bucket of a word that follows itself.
@@ -39,7 +41,7 @@ def _features(words: W.Words, breaks: np.ndarray):
         twice = row[:-1][same & (words.hash[:-1] == words.hash[1:])]
         yield twice, np.full(len(twice), TWICE, np.uint64)
     data = np.where(breaks[words.data], np.uint8(0x20), words.data)
-    sums = W.running(data.astype(np.uint64) + np.uint64(1), W.BYTE_BASE)
+    blocks = W.eight(data)
     # From each byte of a word, and from the break before it, up to the break after it.
     until = np.repeat(np.minimum(words.end + 1, words.offsets[row + 1]), words.end - words.start)
     at = np.arange(len(until)) - np.repeat(np.cumsum(words.end - words.start) - (words.end - words.start), words.end - words.start) + np.repeat(words.start, words.end - words.start)
@@ -49,7 +51,7 @@ def _features(words: W.Words, breaks: np.ndarray):
     for n in GRAMS:
         ok = at + n <= until
         here = at[ok]
-        yield text[ok], W.spans(sums, here, here + n, W.BYTE_BASE) >> down
+        yield text[ok], W.mix(blocks[here] & W.LOWEST[n], n) >> down
 
 
 def _counts(batches):
@@ -104,13 +106,14 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """The model, from at most `sample` labelled rows of each class, chosen by a hash of doc_id."""
+    """The model, from at most about `sample` labelled rows of each class, chosen by a hash of doc_id, those with texts of up to LONGEST bytes."""
+    short = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).select("doc_id", "text")
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id")))
     sizes = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("label") == 1, min(1.0, sample / max(1, sizes.get(1, 0)))).otherwise(min(1.0, sample / max(1, sizes.get(0, 0))))
     chosen = usable.filter((F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) / float(1 << 20)) < share)
     # About 2 * sample rows, so their ids can be sent everywhere; the texts stay where they are.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text", F.xxhash64("doc_id", F.lit(SEED)).alias("rank"))
+    rows = short.join(F.broadcast(chosen), "doc_id").select("label", "text", F.xxhash64("doc_id", F.lit(SEED)).alias("rank"))
     found = rows.select("label", "text", "rank").select("label", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counts, "label int, buckets array<int>, counts array<int>").toArrow()
     label, bucket, count = ([x.as_py() if k == 0 else np.asarray(x.values) for x in found.column(k)] for k in range(3))
     order = sorted(range(len(label)), key=lambda i: (label[i], len(bucket[i]), bucket[i].tobytes()))
@@ -148,7 +151,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, that score at least the threshold."""
+    """The rows of docs, all columns, that score at least the threshold.
+
+    A null or empty text scores by the bias alone; repeated rows stay or go together;
+    an empty table gives no rows. Columns of docs may have any other names.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests on one machine), a new one."""
+    """The folder named in spark.checkpoint.dir; a session without one cannot run operators that write."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -38,3 +36,14 @@ def filesystem(uri: str):
     if "://" not in uri and uri.startswith("file:"):
         uri = "file://" + uri[5:]
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def returned() -> None:
+    """Gives the memory of what a worker no longer refers to back to the system, as workers are kept for later tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # only some C libraries have it
+        trim(0)

@@ -34,8 +34,7 @@ PLACE = np.uint64((1 << 28) - 1)
 
 def _filed(words: W.Words, size: int, gram: int):
     """Runs of windows filed under one piece: first window, how many, the piece's hash; window hashes."""
-    windows, whole = words.grams(size)
-    pieces, _ = words.grams(gram)
+    (pieces, _), (windows, whole) = words.grams(gram, size)
     at = np.arange(len(pieces), dtype=np.uint64)
     least = W.sliding_min((pieces & ~PLACE) | at, size - gram + 1)[: len(windows)]
     valid = np.flatnonzero(whole)
@@ -161,9 +160,11 @@ def _runs(size: int, gram: int, sent):
                 first, n, piece, row = first[keep], n[keep], piece[keep], row[keep]
                 if not len(first):
                     continue
-                span = W.spans(W.running(words.hash, W.WORD_BASE), first, first + n + size - 1, W.WORD_BASE)
                 offsets = np.concatenate([[0], np.cumsum(n)])
-                at = np.repeat(first - offsets[:-1], n) + np.arange(offsets[-1])
+                k = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)
+                at = np.repeat(first, n) + k
+                # Windows scrambled with their places add up to the run's hash.
+                span = W.mix(np.add.reduceat(W.mix(windows[at] ^ W.mix(k.astype(np.uint64), 9), 13), offsets[:-1]) + n.astype(np.uint64), 15)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[low + row], pa.int64()), pa.array(keys[low + row], pa.int64()), pa.array(first - words.first[row], pa.int32()), pa.array(n, pa.int32()), pa.array(piece.view(np.int64)), pa.array(span.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(windows[at].view(np.int64)))],
                     names=["doc_id", "text_key", "first", "n", "piece", "span", "windows"],
@@ -183,10 +184,11 @@ def repeated_spans(docs: DataFrame, size: int = 50, gram: int = 16) -> DataFrame
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").filter("doc_id is not null and text is not null")
     sent = docs.sparkSession.sparkContext.broadcast(sketch(docs, size, gram))
     runs = written(docs.mapInArrow(_runs(size, gram, sent), RUNS), "runs")
-    least = runs.groupBy("piece", "span").agg(F.min("doc_id").alias("least"))
-    several = least.groupBy("piece").agg(F.count("*").alias("spans"), F.min("least").alias("piece_least"), F.max("least").alias("piece_most")).filter("spans > 1").select("piece")
-    later = runs.select("doc_id", "text_key", "first", "n", "piece", "span").join(least, ["piece", "span"]).filter("doc_id > least").select("doc_id", "text_key", F.col("first").alias("a"), (F.col("first") + F.col("n") + (size - 1)).alias("b"))
-    heads = runs.join(least.join(several, "piece", "left_semi").withColumnRenamed("least", "doc_id"), ["piece", "span", "doc_id"], "left_semi")
+    least = written(runs.groupBy("piece", "span").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "least")
+    several = written(least.groupBy("piece").agg(F.count("*").alias("spans")).filter("spans > 1").select("piece"), "several")
+    again = least.filter("least < most").select("piece", "span", "least")
+    later = runs.select("doc_id", "text_key", "first", "n", "piece", "span").join(again, ["piece", "span"]).filter("doc_id > least").select("doc_id", "text_key", F.col("first").alias("a"), (F.col("first") + F.col("n") + (size - 1)).alias("b"))
+    heads = runs.join(least.join(several, "piece", "left_semi").select("piece", "span", F.col("least").alias("doc_id")), ["piece", "span", "doc_id"], "left_semi")
     single = heads.select("doc_id", "text_key", "piece", "first", F.posexplode("windows").alias("k", "window"))
     known = single.groupBy("piece", "window").agg(F.min("doc_id").alias("least"))
     edge = single.join(known, ["piece", "window"]).filter("doc_id > least").select("doc_id", "text_key", (F.col("first") + F.col("k")).alias("a"), (F.col("first") + F.col("k") + size).alias("b"))

@@ -3,8 +3,8 @@
 Encoding. White space splits the work: the tokenizer drops it, so a text's ids
 are those of its parts. Parts of ASCII and Latin-1 letters, digits and signs are
 split further, as the tokenizer itself does, and put in lower case; each distinct
-part is encoded by the library once per batch or taken from a bounded memory.
-Parts with anything else in them go to the library whole. The rules hold for a
+part is encoded by the library once or taken from a bounded memory, where it is
+known by all its bytes. Parts with anything else in them go to the library whole. The rules hold for a
 BPE vocabulary with word ends, lower case and dropped white space.
 
 File format, for one shard of consecutive documents: records of
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import filesystem, place, shared
+from .scratch import filesystem, place, returned, shared
 
 END_ID = 1
 #: Distinct parts remembered between batches, and encoded in one call.
@@ -46,6 +46,70 @@ def _classes() -> np.ndarray:
     return out
 
 
+class Known:
+    """Parts whose ids are known, found by hash and told apart by all their bytes: an open table of places, twice as large as needed at least."""
+
+    def __init__(self, kind):
+        self.kind, self.bits = kind, 16
+        self.key, self.size, self.at, self.many = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+        self.begin = np.zeros(0, np.int64)
+        self.data = np.zeros(0, np.uint8)
+        self.ids = np.zeros(0, kind)
+        self._deal()
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def _deal(self) -> None:
+        while 2 * len(self) > 1 << self.bits:
+            self.bits += 1
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        self.blocks = W.eight(self.data)
+        left = np.arange(len(self), dtype=np.int32)
+        step = 0
+        while len(left):
+            slot = self._slot(self.key[left], step)
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            left = left[self.table[slot] != left]
+            step += 1
+        self.steps = step
+
+    def _slot(self, key: np.ndarray, step: int) -> np.ndarray:
+        return ((key >> np.uint64(64 - self.bits)).astype(np.int64) + step) & ((1 << self.bits) - 1)
+
+    def find(self, blocks: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """For each part its place, -1 for one that is not known."""
+        out = np.full(len(key), -1, np.int64)
+        left = np.arange(len(key))
+        for step in range(self.steps):
+            got = self.table[self._slot(key[left], step)]
+            left, got = left[got >= 0], got[got >= 0]
+            same = (self.key[got] == key[left]) & (self.size[got] == size[left])
+            who, place, k = left[same], got[same], 0
+            while len(who):  # eight bytes a round, as long as they agree
+                rest = np.minimum(size[who] - k, 8)
+                equal = (blocks[start[who] + k] & W.LOWEST[rest]) == (self.blocks[self.begin[place] + k] & W.LOWEST[rest])
+                who, place, rest, k = who[equal], place[equal], rest[equal], k + 8
+                whole = size[who] <= k
+                out[who[whole]] = place[whole]
+                who, place = who[~whole], place[~whole]
+            left = left[out[left] < 0]
+            if not len(left):
+                break
+        return out
+
+    def add(self, key: np.ndarray, texts: list[bytes], ids: list[np.ndarray]) -> None:
+        """Parts that are not known yet, all different."""
+        size, many = np.array([len(t) for t in texts], np.int64), np.array([len(x) for x in ids], np.int64)
+        self.begin = np.concatenate([self.begin, np.cumsum(size) - size + len(self.data)])
+        self.at = np.concatenate([self.at, np.cumsum(many) - many + len(self.ids)])
+        self.key, self.size, self.many = np.concatenate([self.key, key]), np.concatenate([self.size, size]), np.concatenate([self.many, many])
+        self.data = np.concatenate([self.data, np.frombuffer(b"".join(texts), np.uint8)])
+        self.ids = np.concatenate([self.ids, *ids])
+        self._deal()
+
+
 class Encoder:
     """Ids of many texts at once."""
 
@@ -59,14 +123,10 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.classes, self.breaks = _classes(), W.white_space()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, self.kind)
+        self.known = Known(self.kind)
 
     def _parts(self, words: W.Words):
-        """Lower-cased bytes; first and last byte, key and kind of each part; the text it is in."""
+        """Lower-cased bytes; first byte, length, key and kind of each part; the text it is in."""
         data = words.data.copy()
         kind = self.classes[data]
         follows = np.zeros(len(data), bool)
@@ -93,14 +153,12 @@ class Encoder:
         new[begins[:-1]] = True
         head = np.flatnonzero(new)
         start, size = at[head], np.diff(np.append(head, len(at)))
-        key = W.spans(W.running(data.astype(np.uint64) + np.uint64(1), W.BYTE_BASE), start, start + size, W.BYTE_BASE)
         raw = own[head] == 4
-        key = np.where(raw, W.mix(key, 41), key)
-        row = np.repeat(words.row(), length)[head]
-        return data, start, start + size, key, raw, row
+        key = W.hashed(data, start, start + size)
+        return data, start, size, key, raw, np.repeat(words.row(), length)[head]
 
-    def _learn(self, key: np.ndarray, texts: list[str], raw: np.ndarray) -> None:
-        """Adds parts that are not known yet."""
+    def _encoded(self, texts: list[str], raw: np.ndarray) -> list:
+        """Ids of each part."""
         ids: list = [None] * len(texts)
         whole = np.flatnonzero(raw).tolist()
         for low in range(0, len(whole), CALL):
@@ -116,12 +174,7 @@ class Encoder:
                 raise ValueError("the vocabulary does not mark the ends of words")
             for i, x in zip(some, np.split(got, cut[:-1]), strict=True):
                 ids[i] = x
-        size = np.array([len(x) for x in ids], np.int64)
-        at = np.cumsum(size) - size + len(self.ids)
-        self.ids = np.concatenate([self.ids, *ids]) if ids else self.ids
-        keys = np.concatenate([self.keys, key])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        return ids
 
     def __call__(self, column):
         """(first row, ids of the rows one after another, how many each row has), chunk by chunk."""
@@ -130,37 +183,25 @@ class Encoder:
             if not len(words):
                 yield low, np.zeros(0, self.kind), np.zeros(n, np.int64)
                 continue
-            data, start, end, key, raw, row = self._parts(words)
-            import pandas as pd
-
-            code, distinct = pd.factorize(key)
-            if len(self.keys) > REMEMBERED:
-                self._forget()
-            slot = np.searchsorted(self.keys, distinct)
-            known = np.zeros(len(distinct), bool)
-            if len(self.keys):
-                known = self.keys[np.minimum(slot, len(self.keys) - 1)] == distinct
-            fresh = np.flatnonzero(~known)
+            data, start, size, key, raw, row = self._parts(words)
+            if len(self.known) > REMEMBERED or len(self.known.data) > REMEMBERED * 16:
+                self.known = Known(self.kind)
+            blocks = W.eight(data)
+            place = self.known.find(blocks, start, size, key)
+            fresh = np.flatnonzero(place < 0)
             if len(fresh):
-                first = np.full(len(distinct), -1)
-                first[code[::-1]] = np.arange(len(code))[::-1]
                 blob = data.tobytes()
-                where = first[fresh]
-                self._learn(distinct[fresh], [blob[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)], raw[where])
-                slot = np.searchsorted(self.keys, distinct)
-            size = self.size[slot][code]
-            begin = np.cumsum(size) - size
-            take = np.repeat(self.at[slot][code] - begin, size) + np.arange(int(size.sum()))
-            yield low, self.ids[take], np.bincount(row, size, n).astype(np.int64)
-
-
-_encoders: dict = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+                # A part of odd characters and one of plain ones never have the same bytes, so bytes say what a part is.
+                first: dict = {}
+                for i in fresh.tolist():
+                    first.setdefault(blob[start[i] : start[i] + size[i]], i)
+                at = np.fromiter(first.values(), np.int64, len(first))
+                self.known.add(key[at], list(first), self._encoded([x.decode() for x in first], raw[at]))
+                place[fresh] = self.known.find(blocks, start[fresh], size[fresh], key[fresh])
+            many = self.known.many[place]
+            begin = np.cumsum(many) - many
+            take = np.repeat(self.known.at[place] - begin, many) + np.arange(int(many.sum()))
+            yield low, self.known.ids[take], np.bincount(row, many, n).astype(np.int64)
 
 
 def masked(data: bytes) -> int:
@@ -189,60 +230,61 @@ SHARD_BYTES = 32 << 20
 
 
 def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> DataFrame:
-    """Writes shards and their indexes under `path`, documents by ascending doc_id (null first, then by text).
+    """Writes shards and their indexes under `path`, documents by ascending doc_id (null first), those of one doc_id by the md5 of their text.
 
     Returns one row a shard: shard (name), part, piece (their order), records, tokens.
-    A task writes each file under a name of its own and renames it, so that a
-    task run twice leaves one whole copy.
+    Names are an attempt's own and never written twice: of a task that ran more than
+    once, the listing that Spark takes says which files count; others are no part of
+    the result.
     """
 
     def run(batches):
         import uuid
 
         import pyarrow.parquet as pq
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer)
+        encode = Encoder(tokenizer)
         store, root = filesystem(path)
         store.create_dir(root)
         part, piece = TaskContext.get().partitionId(), 0
-        out, names, index, at = None, None, [], 0
+        out, name, index, at = None, None, [], 0
 
         def close():
             out.close()
-            pq.write_table(pa.table({"doc_id": pa.array([x[0] for x in index], pa.int64()), "offset": [x[1] for x in index], "length": [x[2] for x in index], "n_tokens": [x[3] for x in index]}), f"{root}/{names[1]}.index", filesystem=store)
-            for name, end in ((f"{names[1]}.index", "index.parquet"), (names[1], "records")):
-                if store.get_file_info(f"{root}/{names[0]}.{end}").type != fs.FileType.NotFound:
-                    store.delete_file(f"{root}/{names[0]}.{end}")
-                store.move(f"{root}/{name}", f"{root}/{names[0]}.{end}")
-            return pa.RecordBatch.from_pydict({"shard": [names[0]], "part": pa.array([part], pa.int32()), "piece": pa.array([piece], pa.int32()), "records": [len(index)], "tokens": [sum(x[3] for x in index)]})
-
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for low, ids, sizes in encode(batch.column(1)):
-                end = 0
-                for k, size in enumerate(sizes.tolist()):
-                    own = np.append(ids[end : end + size], ids.dtype.type(end_id))
-                    end += size
-                    if out is None:
-                        names = (f"shard-{part:05d}-{piece:05d}", f"_{uuid.uuid4().hex}")
-                        out, index, at = store.open_output_stream(f"{root}/{names[1]}"), [], 0
-                    record = frame(doc_ids[low + k], own)
-                    out.write(record)
-                    index.append((doc_ids[low + k], at, len(record), len(own)))
-                    at += len(record)
-                    if at >= SHARD_BYTES:
-                        yield close()
-                        out, piece = None, piece + 1
-        if out is not None:
-            yield close()
+            pq.write_table(pa.table({"doc_id": pa.array([x[0] for x in index], pa.int64()), "offset": [x[1] for x in index], "length": [x[2] for x in index], "n_tokens": [x[3] for x in index]}), f"{root}/{name}.index.parquet", filesystem=store)
+            return pa.RecordBatch.from_pydict({"shard": [name], "part": pa.array([part], pa.int32()), "piece": pa.array([piece], pa.int32()), "records": [len(index)], "tokens": [sum(x[3] for x in index)]})
+
+        try:
+            for batch in batches:
+                doc_ids = batch.column(0).to_pylist()
+                for low, ids, sizes in encode(batch.column(1)):
+                    end = 0
+                    for k, size in enumerate(sizes.tolist()):
+                        own = np.append(ids[end : end + size], ids.dtype.type(end_id))
+                        end += size
+                        if out is None:
+                            name = f"shard-{part:05d}-{piece:05d}-{uuid.uuid4().hex}"
+                            out, index, at = store.open_output_stream(f"{root}/{name}.records"), [], 0
+                        record = frame(doc_ids[low + k], own)
+                        out.write(record)
+                        index.append((doc_ids[low + k], at, len(record), len(own)))
+                        at += len(record)
+                        if at >= SHARD_BYTES:
+                            yield close()
+                            out, piece = None, piece + 1
+            if out is not None:
+                yield close()
+        finally:
+            del encode
+            returned()
 
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    listing = dealt.mapInArrow(run, "shard string, part int, piece int, records long, tokens long")
+    # Equal doc_ids are cut, where they are cut, in the order in which they are sorted.
+    order = [F.col("doc_id").asc_nulls_first(), F.md5("text")]
+    listing = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "shard string, part int, piece int, records long, tokens long")
     spark.createDataFrame(listing.collect(), listing.schema).coalesce(1).write.parquet(f"{path}/shards")  # one small row a shard of 32 MB
     return spark.read.schema(listing.schema).parquet(f"{path}/shards")
 
@@ -294,7 +336,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, path: str | None = None) -
     """Writes the records of docs and returns what reading the files gives, by document.
 
     A null text is empty and still ends with the end id. Rows without doc_id come
-    first, repeated rows each have a record, in the order of their texts. Extra
+    first, repeated rows each have a record, in the order of their texts' md5. Extra
     columns are ignored; an empty table gives no files and no rows.
     """
     path = path or place(docs.sparkSession, "records")
