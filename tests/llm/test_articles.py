@@ -34,6 +34,71 @@ def test_marked_wrappers_of_the_article(name):
     assert articles.main_text(f"<body><article><p>{text}</p></article><div class=comments><article>{text * 3}</article></div></body>") == text
 
 
+LONG = "Long text here and more and more text to read, with words and words. " * 4
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='wrap has-sidebar'><article><p>{}</p></article></div>",
+        "<div class='site nav-fixed'><article><p>{}</p></article></div>",
+        "<div class='menu-open'><main><p>{}</p></main></div>",
+        "<div class='post-content social'><p>{}</p></div>",
+        "<form id=aspnet action=/><div><p>{}</p></div></form>",
+        "<form><nav>menu</nav><article><p>{}</p><form>search</form></article></form>",
+    ],
+)
+def test_pages_in_wrappers_keep_their_text(page):
+    assert articles.main_text(f"<html><body>{page.format(LONG)}</body></html>") == LONG.strip()
+
+
+#: Pages whose parts are marked by nothing but their density.
+UNMARKED = [
+    f"<body><div><div><a href=/1>One</a><a href=/2>Two</a><a href=/3>Three</a><a href=/4>Four</a></div><div id=x><p>{LONG}</p><p>{LONG}</p></div><div><a href=/t>Terms</a><a href=/i>Imprint</a></div></div></body>",
+    f"<body><table><tr><td><ul><li><a href=/1>a</a><li><a href=/2>b</a><li><a href=/3>c</a></ul></td><td><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div></td><td><b>x</b><i>y</i><b>z</b></td></tr></table></body>",
+]
+
+
+@pytest.mark.parametrize(("page", "want"), [(UNMARKED[0], f"{LONG}{LONG}"), (UNMARKED[1], f"T {LONG}{LONG}")])
+def test_density_selects_and_the_body_would_not(page, want, monkeypatch):
+    assert articles.main_text(page) == want.strip()
+    monkeypatch.setattr(articles, "_select", lambda body: [body])
+    assert articles.main_text(page) != want.strip()
+
+
+def test_density_sums_like_brute_force():
+    """Density of every node and the sum over its children, counted anew from the definition."""
+    import math
+
+    body = articles._measure(articles.parse(UNMARKED[0]))
+
+    def inside(node):
+        return [x for i in node.items if isinstance(i, articles.Node) and not i.cut for x in (i, *inside(i))]
+
+    text = lambda n: "".join("".join(i.split()) for x in (n, *inside(n)) for i in x.items if isinstance(i, str))
+    linked = lambda n: text(n) if n.tag == "a" else "".join(text(x) for x in inside(n) if x.tag == "a")
+    share = len(linked(body)) / len(text(body))
+
+    def density(n):
+        c, t, lc = len(text(n)), len(inside(n)) or 1, len(linked(n))
+        lt = sum(x.tag == "a" for x in inside(n)) or 1
+        base = math.log(math.log(c / max(1, c - lc) * lc + share * c + math.e))
+        return c / t * max(0.0, math.log(max(1.0, c / max(1, lc) * t / lt))) / base if base > 1e-9 else c / t
+
+    for n in (body, *inside(body)):
+        own = [x for x in n.items if isinstance(x, articles.Node) and not x.cut]
+        assert n.density == pytest.approx(density(n)) and n.total == pytest.approx(sum(map(density, own)) or density(n))
+
+
+@pytest.mark.parametrize("page", ["<a " * 350000 + '"', "<a x=" * 200000 + '"', "<div>" * 60000 + "</p>" * 170000, "<b><div>" + "<i>" * 60000 + "</b>" * 170000, "<ul>" + "<div>" * 60000 + "<li></li>" * 60000, "<div>" + "<i>" * 60000 + "<div></div>" * 60000, "<!--" * 250000, "<" * 1000000, "</" * 500000, "<p a='" * 100000 + ">x"])
+def test_broken_markup_takes_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    articles.main_text(page)
+    assert time.perf_counter() - began < 4
+
+
 def test_deep_pages_do_not_recurse():
     assert articles.main_text("<div>" * 30000 + "x") == "x"
     assert articles.main_text("<b><p>" * 20000 + "x") == "x"

@@ -20,28 +20,35 @@ from pyspark.sql import DataFrame
 # Tags by what they mean in HTML.
 RAW = frozenset(["script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"])
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
-DROPPED = frozenset(["script", "style", "noscript", "template", "iframe", "noembed", "noframes", "xmp", "head", "title", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "dialog", "menu", "svg", "canvas", "audio", "video", "object", "embed"])
+DROPPED = frozenset(["script", "style", "noscript", "template", "iframe", "noembed", "noframes", "xmp", "head", "title", "nav", "footer", "aside", "button", "select", "option", "textarea", "input", "dialog", "menu", "svg", "canvas", "audio", "video", "object", "embed"])
 INLINE = frozenset(["a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"])
 CLOSES_P = frozenset(["address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"])
 SECTIONS = frozenset(["html", "body", "main", "article", "section", "nav", "aside", "header", "footer", "div", "form", "table", "ul", "ol", "td"])
 SIBLING = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+#: Cut as a marked part is, for some pages lie in one form as a whole.
+WRAPPING = frozenset(["form"])
+SAYING = frozenset(["p", "h1", "h2", "h3", "blockquote", "pre"])
 #: Words of class, id or role, between separators, that mark parts which are no article.
 MARKS = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|sidebar|side-bar|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-header|page-header|comments?|commentlist|disqus|respond|reply|replies|related|recommended|share|sharing|social|subscribe|newsletter|signup|login|search|skip|toolbar|widget|pagination|pager|complementary|contentinfo|alert)(?:$|[\s_-])")
 MODIFIER = re.compile(r"(?i)(?:has|have|no|not|with|without)[-_]")
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)|</[^>]*(?:>|$)", re.S)
+TAG_SIGN = re.compile(r"[>\"']")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked", "holds", "plain")
+    __slots__ = ("tag", "up", "items", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked", "holds", "plain", "depth", "block", "said")
 
     def __init__(self, tag: str, up: Node | None, cut: bool = False, marked: bool = False):
         self.tag, self.up, self.items, self.cut, self.marked = tag, up, [], cut, marked
+        self.depth = up.depth + 1 if up else 0
+        #: The nearest node around that is not inline, or this one.
+        self.block = up.block if up and tag in INLINE else self
 
 
-def _cut(tag: str, rest: str, inside: frozenset | set) -> bool:
+def _cut(tag: str, rest: str, in_article: bool) -> bool:
     """Whether a part is no article by its tag or is hidden."""
-    if tag in DROPPED or tag == "header" and "article" not in inside:
+    if tag in DROPPED or tag == "header" and not in_article:
         return True
     if tag in ("html", "body", "article", "main") or not rest:
         return False
@@ -55,6 +62,8 @@ def _cut(tag: str, rest: str, inside: frozenset | set) -> bool:
 
 def _marked(tag: str, rest: str) -> bool:
     """Whether class, id or role say that a part is no article; names like has-sidebar say nothing of the part itself."""
+    if tag in WRAPPING:
+        return True
     if tag in ("html", "body", "article", "main") or not rest:
         return False
     for name, *values in ATTRIBUTE.findall(rest):
@@ -64,7 +73,7 @@ def _marked(tag: str, rest: str) -> bool:
 
 
 def _cut_marked(root: Node) -> None:
-    """Cuts marked parts, but none that holds an article or main if none stands outside or, on a page without, most of its unlinked characters."""
+    """Cuts marked parts, but none that holds an article or main if none stands outside or, on a page without, most of its unlinked characters (a form only if they stand in paragraphs or headings)."""
     order, stack = [], [(root, False)]
     while stack:
         node, linked = stack.pop()
@@ -78,6 +87,7 @@ def _cut_marked(root: Node) -> None:
             if isinstance(x, Node) and not x.cut:
                 node.holds = node.holds or x.holds
                 node.plain += x.plain
+        node.said = node.tag in SAYING and node.plain > 0 or any(x.said for x in node.items if isinstance(x, Node) and not x.cut)
     named, stack = False, [root]
     while stack:
         # What no mark surrounds, and the outermost marked parts; then on within those that are kept.
@@ -90,71 +100,127 @@ def _cut_marked(root: Node) -> None:
             named = named or node.tag in ("article", "main")
             stack += [x for x in node.items if isinstance(x, Node) and not x.cut]
         for x in outer:
-            if not named and (x.holds if root.holds else 2 * x.plain > root.plain):
+            if not named and (x.holds if root.holds else 2 * x.plain > root.plain and (x.said or x.tag not in WRAPPING)):
                 x.marked = False
                 stack.append(x)
             else:
                 x.cut = True
 
 
+def _tag_end(page: str, at: int, unclosed: set) -> int:
+    """The place behind a tag from a place within it. A quote opens a value only after `=`, and only if it is closed somewhere."""
+    while True:
+        found = TAG_SIGN.search(page, at)
+        if not found:
+            return len(page)
+        at, sign = found.end(), found.group()
+        if sign == ">":
+            return at
+        before = found.start() - 1
+        while page[before].isspace():
+            before -= 1
+        if page[before] == "=" and sign not in unclosed:
+            close = page.find(sign, at)
+            if close < 0:
+                unclosed.add(sign)
+            else:
+                at = close + 1
+
+
+class Tree:
+    """The nodes of a page as its tags come. What is open is kept by tag, so no tag makes the whole path be walked."""
+
+    def __init__(self):
+        self.root = self.node = Node("#root", None)
+        self.open: dict[str, list[Node]] = {}
+
+    def nearest(self, tags) -> Node | None:
+        """The innermost open node of some tags."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), key=lambda x: x.depth, default=None)
+
+    def enter(self, child: Node) -> None:
+        self.open.setdefault(child.tag, []).append(child)
+        self.node = child
+
+    def leave(self, up: Node) -> None:
+        """Closes all down to and with `up`."""
+        while self.node is not up:
+            self.open[self.node.tag].pop()
+            self.node = self.node.up
+        self.open[up.tag].pop()
+        self.node = up.up
+
+    def begin(self, name: str) -> None:
+        """Closes what a start tag closes."""
+        block = self.node.block
+        if name in CLOSES_P and block.tag == "p":
+            self.leave(block)
+        if name in SIBLING:
+            closes, stop = SIBLING[name]
+            up = self.nearest([*closes.split(), *stop])
+            while up is not None and up.tag in closes.split():
+                self.leave(up)
+                up = self.node
+            # Of a part that stands in another kind of part, as a cell of a row, only the former is closed.
+
+    def end(self, name: str) -> None:
+        up = self.nearest([name])
+        if up is not None and name in INLINE:
+            # An end tag of inline kind does not close the section around it.
+            section = self.nearest(SECTIONS)
+            if section is not None and section.depth > up.depth:
+                return
+        if up is not None:
+            self.leave(up)
+
+
 def parse(page: str) -> Node:
-    """The tree of a page. Unclosed and stray tags are mended; a tag cut off by the end of the page is no text."""
-    root = node = Node("#root", None)
-    at, size = 0, len(page)
+    """The tree of a page, in time in proportion to it. Unclosed and stray tags are mended; a tag cut off by the end of the page is no text."""
+    tree = Tree()
+    at, size, unclosed = 0, len(page), set()
     while at < size:
-        found = TOKEN.search(page, at)
-        begin = found.start() if found else size
-        if begin > at:
-            node.items.append(page[at:begin])
-        if not found:
+        begin = page.find("<", at)
+        while 0 <= begin and not (page[begin + 1 : begin + 2] in ("!", "?", "/") or page[begin + 1 : begin + 2].isascii() and page[begin + 1 : begin + 2].isalpha()):
+            begin = page.find("<", begin + 1)
+        if begin < 0:
+            tree.node.items.append(page[at:])
             break
-        at, token = found.end(), found.group()
-        if token.startswith("<![CDATA["):
-            node.items.append(token[9:-3] if token.endswith("]]>") else token[9:])
+        if begin > at:
+            tree.node.items.append(page[at:begin])
+        if page.startswith("<!--", begin):
+            at = page.find("-->", begin + 4) + 3
+            at = at if at > 2 else size
             continue
-        if token[1] in "!?" or token[1] == "/" and not token[2:3].isalpha():
+        if page.startswith("<![CDATA[", begin):
+            at = page.find("]]>", begin + 9)
+            at = at if at >= 0 else size
+            tree.node.items.append(page[begin + 9 : at])
+            at += 3
             continue
-        name = re.match(r"</?([a-zA-Z][^\s/>]*)", token).group(1).lower()
-        if token[1] == "/":
+        closing = page[begin + 1] == "/"
+        found = NAME.match(page, begin + 1 + closing)
+        if not found:
+            at = page.find(">", begin) + 1 or size
+            continue
+        name, at = found.group().lower(), _tag_end(page, found.end(), unclosed)
+        if closing:
             if name == "br":
-                node.items.append(Node("br", node))
-            up = node
-            while up is not None and up.tag != name:
-                # An end tag of inline kind does not close the section around it.
-                up = None if name in INLINE and up.tag in SECTIONS else up.up
-            if up is not None and up.up is not None:
-                node = up.up
+                tree.node.items.append(Node("br", tree.node))
+            else:
+                tree.end(name)
             continue
-        if name in CLOSES_P:
-            up = node
-            while up.tag in INLINE and up.up is not None:
-                up = up.up
-            if up.tag == "p" and up.up is not None:
-                node = up.up
-        if name in SIBLING:
-            closes, stop = SIBLING[name]
-            up = node
-            while up is not None and up.tag not in stop and up.tag not in closes.split():
-                up = up.up
-            while up is not None and up.tag in closes.split() and up.up is not None:
-                node = up = up.up
-        rest = token[len(name) + 1 :]
-        inside = set()
-        if name == "header":
-            up = node
-            while up is not None:
-                inside.add(up.tag)
-                up = up.up
-        child = Node(name, node, _cut(name, rest, inside), _marked(name, rest))
-        node.items.append(child)
+        tree.begin(name)
+        rest = page[found.end() : at]
+        child = Node(name, tree.node, _cut(name, rest, bool(tree.open.get("article"))), _marked(name, rest))
+        tree.node.items.append(child)
         if name in RAW:
             end = re.compile(rf"(?i)</{name}[\s/>]").search(page, at)
             child.items.append(page[at : end.start() if end else size])
             at = page.find(">", end.start()) + 1 or size if end else size
-        elif name not in VOID and not token.endswith("/>"):
-            node = child
-    _cut_marked(root)
-    return root
+        elif name not in VOID and not rest.endswith("/>"):
+            tree.enter(child)
+    _cut_marked(tree.root)
+    return tree.root
 
 
 def _measure(root: Node) -> Node:
@@ -253,8 +319,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages.
 
     A null or empty page, and one without an article, has the empty text. Pages
-    are read whole and one by one, so memory follows the longest page; nesting is
-    never recursed into. Repeated rows give repeated rows; extra columns are ignored.
+    are read whole and one by one, so memory follows the longest page and time the
+    characters read; nesting is never recursed into. Repeated rows give repeated rows; extra columns are ignored.
     """
 
     def run(batches):

@@ -9,7 +9,7 @@ from .scratch import written
 
 #: verdict by rule: a host with all its subdomains, and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.5
+DAMPING, SETTLED, THRESHOLD = 0.85, 1e-6, 0.5
 #: Host tables up to this many rows are sent to every executor; longer ones are joined by shuffle.
 SENT_HOSTS = 100_000
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
@@ -42,30 +42,35 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.filter("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def _spread(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
+def _spread(edges: DataFrame, seeds: DataFrame, damping: float, settled: float) -> DataFrame:
     """Personalised PageRank: (host, mass). seeds: (host, seed), edges: (src, dst, share).
 
-    Each round sends mass along edges, reduced map-side before the shuffle, and
-    writes the host table to the shared folder. What hosts without links hold
-    would go back to the seeds in proportion; leaving it out and bringing the sum
-    to 1 at the end comes to the same.
+    Mass is the sum over all walks from the seeds; a round takes the walks one link
+    further, reduced map-side before the shuffle, and writes them to the shared folder.
+    Rounds end when what is still under way is below `settled` and reaches no
+    host for the first time, so that hosts at any distance get their mass. What hosts
+    without links hold would go back to the seeds in proportion; leaving it out and
+    bringing the sum to 1 at the end comes to the same.
     """
     start = written(seeds.filter("seed > 0").select("host", "seed"), "seeds")
     total = start.agg(F.sum("seed")).first()[0]
     if not total:
         return start.withColumnRenamed("seed", "mass")
-    start = start.withColumn("seed", F.col("seed") / total)
-    mass = start.withColumnRenamed("seed", "mass")
-    base = start.select("host", ((1 - damping) * F.col("seed")).alias("mass"))
+    way = start.select("host", (F.col("seed") / total).alias("mass"))
     if edges.isEmpty():
-        return mass
-    for _ in range(rounds):
-        sent = edges.join(mass, edges.src == mass.host).select(F.col("dst").alias("host"), (F.col("share") * F.col("mass") * damping).alias("mass"))
-        mass = written(sent.unionByName(base).groupBy("host").agg(F.sum("mass").alias("mass")), "mass")
-    return mass.withColumn("mass", F.col("mass") / mass.agg(F.sum("mass")).first()[0])
-
-
-def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+        return way
+    walks = way
+    while True:
+        met = edges.join(way, edges.src == way.host).select(F.col("dst").alias("host"), (F.col("share") * F.col("mass") * damping).alias("mass"))
+        way = written(met.groupBy("host").agg(F.sum("mass").alias("mass")), "way")
+        under_way = way.agg(F.sum("mass")).first()[0] or 0.0
+        if under_way < settled and way.join(walks.select("host"), "host", "left_anti").isEmpty():
+            break
+        walks = written(walks.unionByName(way).groupBy("host").agg(F.sum("mass").alias("mass")), "walks")
+    return walks.withColumn("mass", F.col("mass") / walks.agg(F.sum("mass")).first()[0])
+
+
+def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
     """(host, trust, distrust, score) of hosts that either reaches; score = trust / (trust + distrust).
 
     edges: (src, dst, links). Trust starts at trusted (host, seed) and follows
@@ -76,8 +81,8 @@ def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, damping:
     into = edges.groupBy("dst").agg(F.sum("links").alias("all"))
     along = written(edges.join(out_of, "src").select("src", "dst", (F.col("links") / F.col("all")).alias("share")), "along")
     against = written(edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("links") / F.col("all")).alias("share")), "against")
-    trust = _spread(along, trusted, damping, rounds).withColumnRenamed("mass", "trust")
-    distrust = _spread(against, blocked, damping, rounds).withColumnRenamed("mass", "distrust")
+    trust = _spread(along, trusted, damping, settled).withColumnRenamed("mass", "trust")
+    distrust = _spread(against, blocked, damping, settled).withColumnRenamed("mass", "distrust")
     both = trust.join(distrust, "host", "full").na.fill(0.0, ["trust", "distrust"])
     return both.withColumn("score", F.col("trust") / (F.col("trust") + F.col("distrust")))
 

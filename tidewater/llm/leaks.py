@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import filesystem, place
+from .scratch import filesystem, place, tidied
 
 #: Seven words of eleven, in shapes that overlap little with themselves when shifted.
 MASKS = ("11101100101", "11010011011", "10110101011")
@@ -219,7 +219,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 names=["doc_id", "contaminated", "item_ids", "spans"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, contaminated boolean, item_ids array<long>, spans array<struct<item_id:long,first:int,last:int,equal:int>>")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, contaminated boolean, item_ids array<long>, spans array<struct<item_id:long,first:int,last:int,equal:int>>")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -238,4 +238,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             keep[list(hits)] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -13,17 +13,45 @@ WEIGHTS, SHARE, MOST_REPEATS, SEED = (5, 2, 1), 1.5, 2.0, 42
 SENT_SOURCES = 50_000
 
 
+#: Bits of a draw, and by how many at once the place of the last extra copy is looked for.
+DRAW_BITS, STEP_BITS = 52, 13
+
+
 def _draw():
-    """13 hexadecimal digits of a hash of the seed and doc_id (of the text where it is null), as a number in [0, 1)."""
+    """13 hexadecimal digits of a hash of the seed and doc_id (of the text where it is null), as a whole number below 2**52."""
     name = F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")))
-    return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words; null text: 0) and a number in [0, 1) drawn from a hash of doc_id (of the text where it is null)."""
+    """doc_id, source, size (words; null text: 0) and draw, a number from a hash of doc_id (of the text where it is null)."""
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _draw().alias("draw"))
 
 
+def with_limits(rates: DataFrame, sized: DataFrame) -> DataFrame:
+    """rates with limit: documents whose draw is below it are taken once more.
+
+    With the documents of a source in the order of their draws, the limit is where
+    the extra copies' words come nearest to the words that whole copies leave open. The
+    draws are uniform, so the limit lies about the rate's fraction of their range,
+    and that is a document's chance of one more copy; but words taken miss the
+    target by half of one document at most, instead of by chance. It is found by
+    sums over ranges of draws, 2**STEP_BITS ranges of a source a step, each step
+    within the range where the one before it passed the words wanted.
+    """
+    wanted = F.col("target") - F.floor("rate") * F.col("source_size")
+    state = written(rates.select(F.col("source").alias("__source"), wanted.alias("wanted"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before")).filter("wanted > 0"), "limits")
+    for bits in range(DRAW_BITS - STEP_BITS, -1, -STEP_BITS):
+        met = sized.join(state, sized.source.eqNullSafe(state["__source"]) & (F.shiftright("draw", bits + STEP_BITS) == F.col("prefix")))
+        sums = met.groupBy("__source", F.shiftright("draw", bits).alias("range")).agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"), F.first("before").alias("start"))
+        rising = Window.partitionBy("__source").orderBy("range")
+        sums = sums.withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        last = sums.filter("before < wanted").withColumn("__later", F.row_number().over(Window.partitionBy("__source").orderBy(F.col("range").desc()))).filter("__later = 1")
+        state = written(last.select("__source", "wanted", F.col("range").alias("prefix"), "before", "words"), "limits")
+    limit = F.col("prefix") + (F.col("before") + F.col("words") / 2 < F.col("wanted")).cast("long")
+    return rates.join(state.select("__source", limit.alias("limit")), rates.source.eqNullSafe(F.col("__source")), "left").select(*rates.columns, F.coalesce("limit", F.lit(0)).cast("long").alias("limit"))
+
+
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> DataFrame:
     """source, source_size, target, rate: one row a source.
 
@@ -52,20 +80,24 @@ def _with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
     return rows.join(rates, rows.source.eqNullSafe(F.col("__source")))
 
 
-def _copies(draw, rate):
-    return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("int")
+def _copies(draw):
+    return (F.floor("__rate") + (draw < F.col("__limit")).cast("int")).cast("int")
+
+
+def _rates(sized: DataFrame, how: dict) -> DataFrame:
+    return with_limits(written(source_targets(sized, **how), "targets"), sized)
 
 
 def mix_plan(docs: DataFrame, **how) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken (size times copies).
 
-    A document is taken floor(rate) times and once more if its draw is below the
-    fraction, so never more than the repeat limit; draws depend on doc_id and the
+    A document is taken floor(rate) times and once more if its draw is below its
+    source's limit, so never more than the repeat limit; draws depend on doc_id and the
     seed alone, and repeated rows are taken alike. A source without words has rate
     0. Extra columns are ignored; an empty table gives no rows.
     """
     sized = written(sizes(docs), "sizes")
-    rated = _with_rates(sized, source_targets(sized, **how)).withColumn("copies", _copies(F.col("draw"), F.col("__rate")))
+    rated = _with_rates(sized, _rates(sized, how)).withColumn("copies", _copies(F.col("draw")))
     return rated.select("doc_id", "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -76,8 +108,8 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     says; a null source is a source; an empty table gives no rows. Columns of docs may
     have any other names.
     """
-    rates = source_targets(written(sizes(docs), "sizes"), **how)
-    rated = _with_rates(docs.withColumn("__draw", _draw()), rates).withColumn("__copies", _copies(F.col("__draw"), F.col("__rate")))
+    rates = _rates(written(sizes(docs), "sizes"), how)
+    rated = _with_rates(docs.withColumn("__draw", _draw()), rates).withColumn("__copies", _copies(F.col("__draw")))
     return rated.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
@@ -87,7 +119,7 @@ def mix_sql(weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -
     return f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, md5(text), '')), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)!r} AS draw
+    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, md5(text), '')), 1, 13))::BIGINT AS draw
   FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (
@@ -103,6 +135,10 @@ chosen AS (SELECT arg_min(level, most / weight) AS level FROM levels WHERE level
 rates AS (
   SELECT source, source_size, least(most, coalesce((SELECT level FROM chosen), 'inf'::DOUBLE) * weight) AS target,
     CASE WHEN source_size > 0 THEN least(most, coalesce((SELECT level FROM chosen), 'inf'::DOUBLE) * weight) / source_size ELSE 0 END AS rate
-  FROM levels)
-SELECT doc_id, size, source_size, target, size * (floor(rate) + (draw < rate - floor(rate))::INT)::BIGINT AS taken
-FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source"""
+  FROM levels),
+drawn AS (
+  SELECT rates.source, draw, sum(size) AS words, any_value(target - floor(rate) * source_size) AS wanted
+  FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source GROUP BY rates.source, draw),
+passed AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + words / 2 < wanted AS more FROM drawn)
+SELECT doc_id, size, source_size, target, size * (floor(rate) + more::INT)::BIGINT AS taken
+FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source JOIN passed ON sized.source IS NOT DISTINCT FROM passed.source AND sized.draw = passed.draw"""

@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "set a secret of your own"
 #: 72,900 = 270 * 270 days from this one.
 EPOCH, DAY_RADIX = "1900-01-01", 270
 
@@ -117,8 +116,8 @@ def _whole(m: Column, kind: str, key: str, back: bool, hexadecimal: bool = False
 
 def _email(m: Column, key: str, back: bool) -> Column:
     local = F.substring_index(m, "@", 1)
-    few = F.length(F.regexp_replace(local, "[^A-Za-z0-9]", "")) < 2
-    return F.when(few, m).otherwise(F.concat(_whole(local, "email", key, back), F.lit("@"), F.substring_index(m, "@", -1)))
+    none = F.length(F.regexp_replace(local, "[^A-Za-z0-9]", "")) == 0
+    return F.when(none, m).otherwise(F.concat(_whole(local, "email", key, back), F.lit("@"), F.substring_index(m, "@", -1)))
 
 
 def _access(m: Column, key: str, back: bool) -> Column:
@@ -250,7 +249,7 @@ def _run(m: Column) -> Column:
     return F.flatten(F.transform(_let(F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0)), pieces), others))
 
 
-def pseudonym(m: Column, key: str = KEY, back: bool = False) -> Column:
+def pseudonym(m: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of one matched value; `back` gives the value of a pseudonym."""
     is_a = lambda kind: m.rlike(f"^(?:{KINDS[kind]})$")
     return (
@@ -268,9 +267,11 @@ def pseudonym(m: Column, key: str = KEY, back: bool = False) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     """docs with the values in text replaced and n_replaced, the number of values that changed.
 
+    Whoever has the key can go back, so it is for the caller to choose and keep.
+
     Values are found anew in each text, and none by its neighbours, so repeated
     rows come out alike. A null text stays null with 0 values. Columns of docs stay
     as they are (a column n_replaced is replaced); an empty table gives no rows.

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .scratch import tidied
 
 BUCKET_BITS, DIMENSIONS, EPOCHS, RATE, SEED = 16, 16, 12, 0.4, 7
 #: Labelled documents of each class that are learned from, at most.
@@ -114,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     chosen = usable.filter((F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) / float(1 << 20)) < share)
     # About 2 * sample rows, so their ids can be sent everywhere; the texts stay where they are.
     rows = short.join(F.broadcast(chosen), "doc_id").select("label", "text", F.xxhash64("doc_id", F.lit(SEED)).alias("rank"))
-    found = rows.select("label", "text", "rank").select("label", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counts, "label int, buckets array<int>, counts array<int>").toArrow()
+    found = rows.select("label", "text", "rank").select("label", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidied(_counts), "label int, buckets array<int>, counts array<int>").toArrow()
     label, bucket, count = ([x.as_py() if k == 0 else np.asarray(x.values) for x in found.column(k)] for k in range(3))
     order = sorted(range(len(label)), key=lambda i: (label[i], len(bucket[i]), bucket[i].tobytes()))
     return train([label[i] for i in order], [bucket[i] for i in order], [count[i] for i in order])
@@ -146,7 +147,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), *sent.value), pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -163,4 +164,4 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(at), *sent.value) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

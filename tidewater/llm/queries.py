@@ -53,8 +53,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Where the session names the key of the pseudonyms, and the one for the public test tables, which hide nothing.
+PSEUDONYM_KEY, TEST_KEY = "spark.tidewater.pseudonyms.key", "of the test tables"
+
+
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(PSEUDONYM_KEY, TEST_KEY))
 
 
 def op8_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:

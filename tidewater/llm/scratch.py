@@ -38,12 +38,15 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
-def returned() -> None:
-    """Gives the memory of what a worker no longer refers to back to the system, as workers are kept for later tasks."""
-    import ctypes
-    import gc
-
-    gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:  # only some C libraries have it
-        trim(0)
+def tidied(run):
+    """run, a function over the batches of a task; after the last, freed memory goes back to the system, as workers are kept for later tasks."""
+
+    def whole(batches):
+        import ctypes
+
+        yield from run(batches)
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # only some C libraries have it
+            trim(0)
+
+    return whole

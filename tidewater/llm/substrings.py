@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .packing import packed, unpacked
-from .scratch import written
+from .scratch import tidied, written
 
 #: 3 rows of 2**29 cells, one bit each after merging, folded to 2**23 cells at least: 3 to 192 MB.
 ROWS, CELL_BITS, SLICE_BITS = 3, 29, 23
@@ -123,9 +123,9 @@ def sketch(docs: DataFrame, size: int, gram: int) -> list[bytes]:
     """
     import zstandard
 
-    partial = docs.select("text").mapInArrow(_partial_sketch(size, gram), "row int, slice int, cells binary")
+    partial = docs.select("text").mapInArrow(tidied(_partial_sketch(size, gram)), "row int, slice int, cells binary")
     ordered = partial.repartition("row", "slice").sortWithinPartitions("row", "slice")
-    merged = written(ordered.mapInArrow(_merge, "row int, slice int, taken long, bits binary"), "sketch")
+    merged = written(ordered.mapInArrow(tidied(_merge), "row int, slice int, taken long, bits binary"), "sketch")
     most = max((x["taken"] for x in merged.groupBy("row").agg(F.sum("taken").alias("taken")).collect()), default=0)
     bits = next((b for b in range(SLICE_BITS, CELL_BITS) if most * SPARE <= 1 << b), CELL_BITS)
     slices, width, large = 1 << (bits - SLICE_BITS), 1 << (SLICE_BITS - 3), zstandard.ZstdDecompressor()
@@ -183,7 +183,7 @@ def repeated_spans(docs: DataFrame, size: int = 50, gram: int = 16) -> DataFrame
     """
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").filter("doc_id is not null and text is not null")
     sent = docs.sparkSession.sparkContext.broadcast(sketch(docs, size, gram))
-    runs = written(docs.mapInArrow(_runs(size, gram, sent), RUNS), "runs")
+    runs = written(docs.mapInArrow(tidied(_runs(size, gram, sent)), RUNS), "runs")
     least = written(runs.groupBy("piece", "span").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "least")
     several = written(least.groupBy("piece").agg(F.count("*").alias("spans")).filter("spans > 1").select("piece"), "several")
     again = least.filter("least < most").select("piece", "span", "least")
@@ -225,7 +225,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 16) -> DataFrame
     cuts = repeated_spans(docs, size, gram).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("cuts")).withColumnsRenamed({"doc_id": "cut_id", "text_key": "cut_key"})
     rows = packed(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), "doc_id", "text_key")
     joined = rows.join(cuts, (rows.doc_id == cuts.cut_id) & (rows.text_key == cuts.cut_key), "left")
-    return joined.select("doc_id", "packed", "cuts").mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return joined.select("doc_id", "packed", "cuts").mapInArrow(tidied(_apply), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 #: The digests of remove_repeats over the table documents, for DuckDB.

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import filesystem, place, returned, shared
+from .scratch import filesystem, place, shared, tidied
 
 END_ID = 1
 #: Distinct parts remembered between batches, and encoded in one call.
@@ -255,36 +255,32 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_
             pq.write_table(pa.table({"doc_id": pa.array([x[0] for x in index], pa.int64()), "offset": [x[1] for x in index], "length": [x[2] for x in index], "n_tokens": [x[3] for x in index]}), f"{root}/{name}.index.parquet", filesystem=store)
             return pa.RecordBatch.from_pydict({"shard": [name], "part": pa.array([part], pa.int32()), "piece": pa.array([piece], pa.int32()), "records": [len(index)], "tokens": [sum(x[3] for x in index)]})
 
-        try:
-            for batch in batches:
-                doc_ids = batch.column(0).to_pylist()
-                for low, ids, sizes in encode(batch.column(1)):
-                    end = 0
-                    for k, size in enumerate(sizes.tolist()):
-                        own = np.append(ids[end : end + size], ids.dtype.type(end_id))
-                        end += size
-                        if out is None:
-                            name = f"shard-{part:05d}-{piece:05d}-{uuid.uuid4().hex}"
-                            out, index, at = store.open_output_stream(f"{root}/{name}.records"), [], 0
-                        record = frame(doc_ids[low + k], own)
-                        out.write(record)
-                        index.append((doc_ids[low + k], at, len(record), len(own)))
-                        at += len(record)
-                        if at >= SHARD_BYTES:
-                            yield close()
-                            out, piece = None, piece + 1
-            if out is not None:
-                yield close()
-        finally:
-            del encode
-            returned()
+        for batch in batches:
+            doc_ids = batch.column(0).to_pylist()
+            for low, ids, sizes in encode(batch.column(1)):
+                end = 0
+                for k, size in enumerate(sizes.tolist()):
+                    own = np.append(ids[end : end + size], ids.dtype.type(end_id))
+                    end += size
+                    if out is None:
+                        name = f"shard-{part:05d}-{piece:05d}-{uuid.uuid4().hex}"
+                        out, index, at = store.open_output_stream(f"{root}/{name}.records"), [], 0
+                    record = frame(doc_ids[low + k], own)
+                    out.write(record)
+                    index.append((doc_ids[low + k], at, len(record), len(own)))
+                    at += len(record)
+                    if at >= SHARD_BYTES:
+                        yield close()
+                        out, piece = None, piece + 1
+        if out is not None:
+            yield close()
 
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     # Equal doc_ids are cut, where they are cut, in the order in which they are sorted.
     order = [F.col("doc_id").asc_nulls_first(), F.md5("text")]
-    listing = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "shard string, part int, piece int, records long, tokens long")
+    listing = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tidied(run), "shard string, part int, piece int, records long, tokens long")
     spark.createDataFrame(listing.collect(), listing.schema).coalesce(1).write.parquet(f"{path}/shards")  # one small row a shard of 32 MB
     return spark.read.schema(listing.schema).parquet(f"{path}/shards")
 
