@@ -39,6 +39,6 @@ def closed_run(df: DataFrame, key: str = "store", order: str = "dt", is_open: st
 
 def days_to_open(df: DataFrame, key: str = "store", order: str = "dt", is_open: str = "open", cap: int = RUN_CAP) -> DataFrame:
     """Adds days_to_open: days until the next open day, 0 where open, cap where none follows."""
-    ahead = Window.partitionBy(key).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    following = F.first(F.when(F.col(is_open) == 1, F.col(order)), ignorenulls=True).over(ahead)
+    ahead = Window.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    following = F.last(F.when(F.col(is_open) == 1, F.col(order)), ignorenulls=True).over(ahead)
     return df.withColumn("days_to_open", F.coalesce(F.least(F.datediff(following, F.col(order)), F.lit(cap)), F.lit(cap)).cast("long"))

@@ -2,9 +2,10 @@
 
 A forecast has one row per series and step: p10, median, p90. The built-in model
 repeats the last season and takes its quantiles from the series' own seasonal
-differences. With covariates it adds the effect of each known flag, the
-difference of the target's mean with and without it (to four places), times the flag's change
-against the season repeated.
+differences. With covariates it adds the effect of each, the difference of the
+target's mean where the covariate is above its own mean and where it is not (to four
+places), times the covariate's change against the day repeated: to its value where
+the future is known, else to its mean in the past (to six places).
 """
 
 from __future__ import annotations
@@ -37,24 +38,29 @@ def seasonal_naive(past: DataFrame, horizon: int = 30, target: str = "sales", ke
     return rows.select(F.col(key).alias("series_id"), F.col("step").cast("long").alias("step"), F.round(median + F.col("__low"), 6).alias("p10"), F.round(median, 6).alias("median"), F.round(median + F.col("__high"), 6).alias("p90"))
 
 
-def covariate_naive(past: DataFrame, future: DataFrame, known: Iterable[str], horizon: int = 30, target: str = "sales", key: str = "store", season: int = SEASON) -> DataFrame:
-    """seasonal_naive moved by the effect of the known covariates. future: key, idx from 0 and the covariates.
+def covariate_naive(past: DataFrame, future: DataFrame, known: Iterable[str], horizon: int = 30, target: str = "sales", key: str = "store", season: int = SEASON, observed: Iterable[str] = ()) -> DataFrame:
+    """seasonal_naive moved by the effects of covariates: known ones by their future, observed ones by their past alone.
 
-    Effects come from one aggregate a series over the past: mean target where the
-    covariate is positive less the mean where it is not, 0 if either is missing.
+    future: key, idx from 0 and the known covariates; a known covariate without a
+    value ahead counts as observed, a null before as 0, and a covariate that is never
+    both above its mean and not has no effect.
     """
-    known = list(known)
+    known, names = list(known), sorted({*known, *observed})
     base = seasonal_naive(past, horizon, target, key, season)
-    if not known:
+    if not names:
         return base
-    mean = lambda c, on: F.avg(F.when((F.col(c) > 0) if on else ~(F.col(c) > 0), F.col(target)))
-    effects = past.groupBy(key).agg(*[F.round(F.coalesce(mean(c, True) - mean(c, False), F.lit(0.0)), 4).alias(f"__effect_{c}") for c in known], F.count("*").alias("__n"))
-    before = past.join(effects, key).select(F.col(key).alias("series_id"), (F.col("idx") - (F.col("__n") - season)).alias("__phase"), *[F.col(c).alias(f"__before_{c}") for c in known], *[f"__effect_{c}" for c in known]).filter("__phase >= 0")
+    whole = Window.partitionBy(key)
+    rows = past.select(key, "idx", target, *names).withColumns({f"__mean_{c}": F.round(F.avg(c).over(whole), 6) for c in names})
+    above = lambda c: F.col(c) > F.col(f"__mean_{c}")
+    effect = lambda c: F.round(F.coalesce(F.avg(F.when(above(c), F.col(target))) - F.avg(F.when(~above(c), F.col(target))), F.lit(0.0)), 4)
+    effects = rows.groupBy(key).agg(*[x for c in names for x in (effect(c).alias(f"__effect_{c}"), F.first(f"__mean_{c}").alias(f"__mean_{c}"))], F.count("*").alias("__n"))
+    before = past.join(effects, key).select(F.col(key).alias("series_id"), (F.col("idx") - (F.col("__n") - season)).alias("__phase"), *[F.col(c).alias(f"__before_{c}") for c in names], *[f"__{x}_{c}" for c in names for x in ("effect", "mean")]).filter("__phase >= 0")
     ahead = future.select(F.col(key).alias("series_id"), F.col("idx").alias("step"), *[F.col(c).alias(f"__ahead_{c}") for c in known])
     rows = base.withColumn("__phase", F.col("step") % season).join(before, ["series_id", "__phase"]).join(ahead, ["series_id", "step"], "left")
     move = F.lit(0.0)
-    for c in known:
-        move = move + F.col(f"__effect_{c}") * (F.coalesce(F.col(f"__ahead_{c}"), F.col(f"__before_{c}"), F.lit(0)) - F.coalesce(F.col(f"__before_{c}"), F.lit(0)))
+    for c in names:
+        to = [F.col(f"__ahead_{c}").cast("double")] if c in known else []
+        move = move + F.col(f"__effect_{c}") * (F.coalesce(*to, F.col(f"__mean_{c}"), F.lit(0.0)) - F.coalesce(F.col(f"__before_{c}").cast("double"), F.lit(0.0)))
     return rows.select("series_id", "step", *[F.round(F.col(c) + move, 6).alias(c) for c in ("p10", "median", "p90")])
 
 
@@ -84,6 +90,12 @@ def tasks(past: DataFrame, covariates: Iterable[str], known_future: Iterable[str
     return out.drop("__replayed").join(arrays(future.filter(F.col("idx") < horizon), known).select(key, as_map(known).alias("future_covariates")), key, "left")
 
 
+def task_shapes(task_rows: DataFrame, key: str = "store") -> DataFrame:
+    """For a look at what a model is given: the length of each series' target and of its covariates, past and future."""
+    sizes = lambda m: F.transform_values(F.coalesce(F.col(m), F.create_map().cast("map<string,array<float>>")), lambda _, v: F.size(v))
+    return task_rows.select(key, F.size("target").alias("target"), sizes("past_covariates").alias("past_covariates"), sizes("future_covariates").alias("future_covariates"))
+
+
 FORECAST_SCHEMA = "series_id long, step long, quantile double, value double"
 
 
@@ -137,6 +149,7 @@ def repeated_season() -> Callable[[], Callable]:
         import numpy as np
 
         def predict(target, past, future, horizon, levels):
+            target = target.astype(float)
             spread = np.quantile(target[SEASON:] - target[:-SEASON], levels) if len(target) > SEASON else np.zeros(len(levels))
             spread = spread - (spread[levels.index(0.5)] if 0.5 in levels else 0)
             return target[-SEASON:][np.arange(horizon) % min(SEASON, len(target))] + spread[:, None]

@@ -36,10 +36,11 @@ def with_target(df: DataFrame, target: str = "sales") -> DataFrame:
 
 
 def _filled(df: DataFrame, key: str, order: str, columns: Iterable[str] | None, backward: bool) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # What follows a row is what precedes it in the other order, so both frames only ever grow.
+    up, down = (Window.partitionBy(key).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col(order).asc(), F.col(order).desc()))
     names = [c for c in (columns or df.columns) if c not in (key, order)]
-    value = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after)) if backward else F.last(c, ignorenulls=True).over(before)
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    value = lambda c: F.coalesce(last(c, up), last(c, down)) if backward else last(c, up)
     return df.select(*[value(c).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
@@ -49,7 +50,7 @@ def forward_fill(df: DataFrame, key: str = "store", order: str = "dt", columns:
 
 
 def fill_both(df: DataFrame, key: str = "store", order: str = "dt", columns: Iterable[str] | None = None) -> DataFrame:
-    """Forward fill, then what still misses at the start from the first value; both in one sort."""
+    """Forward fill, then what still misses at the start from the first value."""
     return _filled(df, key, order, columns, True)
 
 
@@ -122,16 +123,14 @@ def appended(past: DataFrame, future: DataFrame, key: str = "store") -> DataFram
 def by_step(a: DataFrame, b: DataFrame, keys: Iterable[str] = ("series_id", "step"), strict: bool = True) -> DataFrame:
     """Rows of a and b of one step side by side. Unequal lengths raise, or, if not strict, give no rows for that series."""
     keys = list(keys)
-    series = keys[:-1]
-    na, nb = (x.groupBy(*series).agg(F.count("*").alias(n)) for x, n in ((a, "__na"), (b, "__nb")))
-    counts = na.join(nb, series, "full").na.fill(0, ["__na", "__nb"])
+    both = a.withColumn("__in_a", F.lit(1)).join(b.withColumn("__in_b", F.lit(1)), keys, "full")
+    own = Window.partitionBy(*keys[:-1])
+    na, nb = (F.count(c).over(own) for c in ("__in_a", "__in_b"))
+    sized = both.withColumns({"__na": na, "__nb": nb})
     differ = F.col("__na") != F.col("__nb")
-    if strict:
-        error = F.raise_error(F.format_string("Length mismatch: %d and %d", "__na", "__nb")).cast("boolean")
-        good = counts.filter(F.when(differ, error).otherwise(F.lit(True)))
-    else:
-        good = counts.filter(~differ)
-    return a.join(b, keys).join(good.select(*series), series, "left_semi")
+    fail = F.raise_error(F.format_string("Length mismatch: %d and %d", "__na", "__nb")).cast("boolean") if strict else F.lit(False)
+    kept = sized.filter(F.when(differ, fail).otherwise(F.col("__in_a").isNotNull() & F.col("__in_b").isNotNull()))
+    return kept.drop("__in_a", "__in_b", "__na", "__nb")
 
 
 def fan_out(base: DataFrame, runs: DataFrame, keys: Iterable[str] = ("series_id", "step")) -> DataFrame:
@@ -160,7 +159,7 @@ def validity(df: DataFrame, key: str = "store", date: str = "dt", target: str =
     rows = df.withColumn("__last", F.max(date).over(all_days)).withColumn("__island", F.date_sub(date, F.row_number().over(w)))
     rows = rows.withColumn("__run", F.count("*").over(Window.partitionBy(key, "__island")))
     rows = rows.withColumn("__recent", F.datediff("__last", date) < window)
-    rows = rows.withColumn("__nonzero_after", F.max((F.col(target) != 0).cast("int")).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.withColumn("__nonzero_after", F.max((F.col(target) != 0).cast("int")).over(Window.partitionBy(key).orderBy(F.col(date).desc()).rowsBetween(Window.unboundedPreceding, 0)))
     complete = F.lit(True)
     for c in covariates:
         complete = complete & F.col(c).isNotNull()
@@ -213,3 +212,16 @@ def gated(forecast: DataFrame, flags: DataFrame, keys: Iterable[str] = ("series_
     values = [c for c in forecast.columns if c in ("p10", "median", "p90")]
     joined = forecast.join(flags.select(*keys, F.col(flag).alias("__flag")), list(keys), "left")
     return joined.withColumns({c: F.col(c) * F.coalesce("__flag", F.lit(1)) for c in values}).drop("__flag")
+
+
+def selection(df: DataFrame, value: str = "mae", key: str = "store", k: int = 3, sample: int = 5, seed: int = 42) -> DataFrame:
+    """Which series to draw: the k worst and k best, and of the others `sample` by a hash of seed and key; kind bad, good or other, with rank.
+
+    Best and worst are disjoint where there are 2 k series; a series that is both is
+    listed as both. Three top-k scans, no global sort.
+    """
+    ranked = ranked_series(df, value, key, k)
+    others = df.join(ranked.select(key), key, "left_anti").withColumn("__order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
+    some = others.orderBy("__order", key).limit(sample).withColumn("kind", F.lit("other"))
+    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("__order", key)).cast("long")).drop("__order")
+    return ranked.unionByName(some)

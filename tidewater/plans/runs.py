@@ -9,9 +9,9 @@ from tidewater.operators import forecast, perturb, relational
 from tidewater.sources import series
 
 TEST_SIZE, SHORTEST = 30, 120
+#: Covariates whose future the baseline is told, and all that runs may have.
 COVARIATES = ("promo", "school_holiday")
-#: Runs whose forecaster is told no covariate's future.
-PLAIN = ("univariate", "noise", "strong_noise", "feature_drop", "partial_mask", "scaling")
+ALL_COVARIATES = ("customers", "noise_random", "open", "promo", "school_holiday")
 
 
 def processed(spark: SparkSession, sf_dir: str, shortest: int = SHORTEST) -> DataFrame:
@@ -24,28 +24,44 @@ def truth(test: DataFrame, key: str = "store", target: str = "sales") -> DataFra
 
 
 def _told(df: DataFrame, run: str, known: tuple[str, ...]) -> DataFrame:
-    """A run's rows; covariates it is not told are 0, which has no effect."""
-    return df.select(F.lit(run).alias("run"), "store", "idx", "sales", *[(F.col(c) if c in known else F.lit(0)).cast("double").alias(c) for c in COVARIATES])
+    """A run's rows: all covariates it has as they were, and those whose future it knows once more as ahead_*; others are null."""
+    value = lambda c, there: (F.col(c) if there else F.lit(None)).cast("double")
+    return df.select(F.lit(run).alias("run"), "store", "idx", "sales", *[value(c, c in df.columns).alias(c) for c in ALL_COVARIATES], *[value(c, c in known).alias(f"ahead_{c}") for c in COVARIATES])
 
 
-def forecast_runs(rows: DataFrame, test_size: int = TEST_SIZE, long_horizon: int = 90) -> DataFrame:
-    """run, series_id, step, p10, median, p90 of all runs, from one origin.
+def forecast_runs(rows: DataFrame, test_size: int = TEST_SIZE, long_horizon: int = 90, only: tuple[str, ...] | None = None, origin: str = "split") -> DataFrame:
+    """run, series_id, step, p10, median, p90 of all runs, or of those named.
 
-    All runs with covariates go through one plan, keyed by run and series.
+    Every perturbed run is forecast from its own changed covariates; all runs with
+    covariates go through one plan, keyed by run and series, and runs that are not
+    asked for are not computed. Origin "split" forecasts the test rows from what is
+    before them; "full" forecasts on from the end of the series and, as no future is
+    given, replays the last test_size values of known covariates. rows is read
+    several times: pass a settled table.
     """
-    past, _ = relational.split(rows, test_size)
-    plain = forecast.seasonal_naive(past, test_size).withColumn("run", F.explode(F.array(*[F.lit(r) for r in PLAIN])))
-    far = forecast.seasonal_naive(past, long_horizon).withColumn("run", F.lit("long_horizon"))
-    told = _told(rows, "covariate", COVARIATES)
-    for run, p in perturb.PERTURBATIONS.items():
-        if p.known_future:
-            told = told.unionByName(_told(p.apply(rows), run, p.known_future))
-    told = told.withColumn("key", F.concat_ws(":", "run", F.col("store").cast("string")))
-    told_past, told_test = relational.split(told, test_size, "key")
-    with_covariates = forecast.covariate_naive(told_past, told_test, COVARIATES, test_size, "sales", "key")
-    with_covariates = with_covariates.withColumn("run", F.substring_index("series_id", ":", 1)).withColumn("series_id", F.substring_index("series_id", ":", -1).cast("long"))
+    if origin not in ("split", "full"):
+        raise ValueError(f"no such origin: {origin}")
+    wanted = lambda run: only is None or run in only
+    past = rows if origin == "full" else relational.split(rows, test_size)[0]
+    parts = [forecast.seasonal_naive(past, n).withColumn("run", F.lit(run)) for run, n in (("univariate", test_size), ("long_horizon", long_horizon)) if wanted(run)]
+    told = [_told(rows, "covariate", COVARIATES)] if wanted("covariate") else []
+    told += [_told(p.apply(rows), run, p.known_future) for run, p in perturb.PERTURBATIONS.items() if run != "long_horizon" and wanted(run)]
+    if told:
+        every = told[0]
+        for one in told[1:]:
+            every = every.unionByName(one)
+        every = every.withColumn("key", F.concat_ws(":", "run", F.col("store").cast("string")))
+        told_past, told_test = relational.split(every, test_size, "key")
+        ahead = told_test.select("key", "idx", *[F.col(f"ahead_{c}").alias(c) for c in COVARIATES])
+        moved = forecast.covariate_naive(every if origin == "full" else told_past, ahead, COVARIATES, test_size, "sales", "key", observed=ALL_COVARIATES)
+        parts.append(moved.withColumn("run", F.substring_index("series_id", ":", 1)).withColumn("series_id", F.substring_index("series_id", ":", -1).cast("long")))
+    if not parts:
+        raise ValueError(f"no such runs: {only}")
     columns = ["run", "series_id", "step", "p10", "median", "p90"]
-    return plain.select(columns).unionByName(far.select(columns)).unionByName(with_covariates.select(columns))
+    out = parts[0].select(columns)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(columns))
+    return out
 
 
 def scored_contexts(rows: DataFrame, lengths=(128, 256, 512), test_size: int = TEST_SIZE) -> DataFrame:

@@ -14,6 +14,54 @@ from tidewater.sources import series
 QUERIES: dict = {}
 SQL: dict = {}
 
+
+
+def _normal(label: str) -> str:
+    u = lambda at: f"((('0x' || substr(md5('{label}:42:' || store || ':' || idx), {at}, 8))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE"
+    return f"round(sqrt(-2 * ln({u(1)})) * cos(2 * pi() * ({u(9)})), 9)"
+
+
+def _told_sql() -> str:
+    """Covariates of every run as it is told them, their effects, and the forecasts of all runs."""
+    own = {c: f"{c}::DOUBLE" for c in ("customers", "open", "promo", "school_holiday")}
+    masked = "idx >= trunc(n * (1::DOUBLE - 0.3::DOUBLE))"
+    changed = {
+        "covariate": ("series", {}, ("promo", "school_holiday")),
+        "noise": ("series", {"noise_random": _normal("noise")}, ()),
+        "strong_noise": ("series", {c: f"coalesce({c}, 0) + 10 * {_normal(c)}" for c in own}, ()),
+        "shuffle": ("shuffled", {}, ("promo",)),
+        "missing_future": ("series", {"school_holiday": "(CASE WHEN idx >= n - 30 THEN 0 ELSE school_holiday END)::DOUBLE"}, ("school_holiday",)),
+        "time_shift": ("shifted", {}, ("promo",)),
+        "trend_break": ("series", {"promo": "CASE WHEN idx >= trunc(n * 0.8::DOUBLE) THEN promo * 1.5::DOUBLE ELSE promo END"}, ("promo",)),
+        "feature_drop": ("series", {"promo": "NULL", "school_holiday": "NULL"}, ()),
+        "partial_mask": ("series", {c: f"CASE WHEN {masked} THEN 0 ELSE {c} END" for c in own}, ()),
+        "scaling": ("series", {c: f"{c} * 2::DOUBLE" for c in own}, ()),
+    }
+    parts = []
+    for run, (source, new, known) in changed.items():
+        value = {"noise_random": "NULL"} | own | new
+        columns = [f"({value[c]})::DOUBLE AS {c}" for c in runs.ALL_COVARIATES]
+        columns += [f"({value[c] if c in known else 'NULL'})::DOUBLE AS ahead_{c}" for c in runs.COVARIATES]
+        parts.append(f"SELECT '{run}' AS run, store, idx, n, sales, {', '.join(columns)} FROM {source}")
+    mean = ", ".join(f"round(avg({c}) OVER (PARTITION BY run, store), 6) AS mean_{c}" for c in runs.ALL_COVARIATES)
+    effect = ", ".join(f"round(coalesce(avg(sales) FILTER ({c} > mean_{c}) - avg(sales) FILTER (NOT {c} > mean_{c}), 0), 4) AS by_{c}, any_value(mean_{c}) AS mean_{c}" for c in runs.ALL_COVARIATES)
+    to = lambda c: f"coalesce(a.ahead_{c}, mean_{c}, 0)" if c in runs.COVARIATES else f"coalesce(mean_{c}, 0)"
+    move = "0::DOUBLE + " + " + ".join(f"by_{c} * ({to(c)} - coalesce(b.{c}, 0))" for c in runs.ALL_COVARIATES)
+    return f"""told AS ({' UNION ALL '.join(parts)}),
+meant AS (SELECT *, {mean} FROM told WHERE idx < n - 30),
+effects AS (SELECT run, store, {effect} FROM meant GROUP BY run, store),
+moved AS (
+  SELECT e.run, f.series_id, f.step, f.p10, f.median, f.p90, {move} AS move
+  FROM naive f JOIN effects e ON e.store = f.series_id
+  JOIN told b ON b.run = e.run AND b.store = e.store AND b.idx = b.n - 37 + f.step % 7
+  LEFT JOIN told a ON a.run = e.run AND a.store = e.store AND a.idx = a.n - 30 + f.step
+  WHERE f.step < 30),
+forecasts AS (
+  SELECT 'univariate' AS run, * FROM naive WHERE step < 30
+  UNION ALL SELECT 'long_horizon', * FROM naive
+  UNION ALL SELECT run, series_id, step, round(p10 + move, 6), round(median + move, 6), round(p90 + move, 6) FROM moved),"""
+
+
 #: Tables that the SQL of all queries builds on.
 PRELUDE = """WITH daily AS (
   SELECT c_nationkey::BIGINT AS store, o_orderdate::DATE AS dt, (sum(round(o_totalprice * 100)::BIGINT)::BIGINT)::DOUBLE / 100::DOUBLE AS sales,
@@ -51,26 +99,7 @@ shuffled AS (
   SELECT s.* EXCLUDE (promo), d.promo FROM series s JOIN (
     SELECT store, promo, row_number() OVER (PARTITION BY store ORDER BY md5('42:' || store || ':' || idx), idx) - 1 AS idx FROM series) d USING (store, idx)),
 shifted AS (SELECT s.* EXCLUDE (promo), d.promo FROM series s JOIN (SELECT store, promo, (idx + 7) % n AS idx FROM series) d USING (store, idx)),
-told AS (
-  SELECT 'covariate' AS run, store, idx, n, sales, promo::DOUBLE AS promo, school_holiday::DOUBLE AS school_holiday FROM series
-  UNION ALL SELECT 'shuffle', store, idx, n, sales, promo, 0 FROM shuffled
-  UNION ALL SELECT 'missing_future', store, idx, n, sales, 0, CASE WHEN idx >= n - 30 THEN 0 ELSE school_holiday END FROM series
-  UNION ALL SELECT 'time_shift', store, idx, n, sales, promo, 0 FROM shifted
-  UNION ALL SELECT 'trend_break', store, idx, n, sales, CASE WHEN idx >= trunc(n * 0.8::DOUBLE) THEN promo * 1.5::DOUBLE ELSE promo END, 0 FROM series),
-effects AS (
-  SELECT run, store, round(coalesce(avg(sales) FILTER (promo > 0) - avg(sales) FILTER (NOT promo > 0), 0), 4) AS by_promo,
-    round(coalesce(avg(sales) FILTER (school_holiday > 0) - avg(sales) FILTER (NOT school_holiday > 0), 0), 4) AS by_school FROM told WHERE idx < n - 30 GROUP BY run, store),
-moved AS (
-  SELECT e.run, f.series_id, f.step, f.p10, f.median, f.p90,
-    by_promo * (coalesce(a.promo, b.promo, 0) - coalesce(b.promo, 0)) + by_school * (coalesce(a.school_holiday, b.school_holiday, 0) - coalesce(b.school_holiday, 0)) AS move
-  FROM naive f JOIN effects e ON e.store = f.series_id
-  JOIN told b ON b.run = e.run AND b.store = e.store AND b.idx = b.n - 37 + f.step % 7
-  LEFT JOIN told a ON a.run = e.run AND a.store = e.store AND a.idx = a.n - 30 + f.step
-  WHERE f.step < 30),
-forecasts AS (
-  SELECT run, naive.* FROM naive, unnest(['univariate', 'noise', 'strong_noise', 'feature_drop', 'partial_mask', 'scaling']) AS t(run) WHERE step < 30
-  UNION ALL SELECT 'long_horizon', * FROM naive
-  UNION ALL SELECT run, series_id, step, round(p10 + move, 6), round(median + move, 6), round(p90 + move, 6) FROM moved),
+{told}
 fanned AS (
   SELECT f.*, b.p10 AS base_p10, b.median AS base_median, b.p90 AS base_p90
   FROM forecasts f JOIN forecasts b ON b.run = 'covariate' AND f.series_id = b.series_id AND f.step = b.step WHERE f.run NOT IN ('univariate', 'covariate', 'long_horizon')),
@@ -98,7 +127,7 @@ scored AS (
       / (sum(abs(y_true)) + 1e-9) / 3, 6) AS wql,
     round(avg(abs(y_true - median)), 4) AS mae
   FROM forecasts JOIN truth USING (series_id, step) WHERE step < 30 GROUP BY 1, 2)
-"""
+""".replace("{told}", _told_sql())
 
 
 def query(sql: str | None = None):
@@ -118,37 +147,48 @@ def _train(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
-    return runs.processed(spark, d)
+    """The cleaned series, computed once a query."""
+    return settled(runs.processed(spark, d))
 
 
 def _past(spark: SparkSession, d: str) -> DataFrame:
     return relational.split(_series(spark, d))[0]
 
 
-def _truth(spark: SparkSession, d: str) -> DataFrame:
-    return runs.truth(relational.split(_series(spark, d))[1])
+def _univariate(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.seasonal_naive(_past(spark, d))
 
 
-def _forecasts(spark: SparkSession, d: str) -> DataFrame:
-    return settled(runs.forecast_runs(_series(spark, d)))
+def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The univariate forecast and the true values, from one table of series."""
+    past, test = relational.split(_series(spark, d))
+    return forecast.seasonal_naive(past), runs.truth(test)
+
+
+def _forecasts(spark: SparkSession, d: str, *only: str) -> tuple[DataFrame, DataFrame]:
+    """The runs named, or all, and the series they come from, each computed once."""
+    rows = _series(spark, d)
+    return settled(runs.forecast_runs(rows, only=only or None)), rows
+
+
+def _truth_of(rows: DataFrame) -> DataFrame:
+    return runs.truth(relational.split(rows)[1])
 
 
 def _pair(spark: SparkSession, d: str) -> DataFrame:
     """The baseline and the shifted run, compared step by step."""
-    f = _forecasts(spark, d)
+    f, _ = _forecasts(spark, d, "covariate", "time_shift")
     of = lambda name: f.filter(F.col("run") == name).drop("run")
     return figures.comparison(of("covariate"), of("time_shift"))
 
 
-def _univariate(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.seasonal_naive(_past(spark, d))
-
-
 def _flags(spark: SparkSession, d: str) -> DataFrame:
     """Days of every series with flag 1 where open, 0 where closed or without a row."""
     return relational.reindexed(_train(spark, d)).withColumn("flag", F.when(F.col("is_gap") == 1, 0).otherwise(F.coalesce("open", F.lit(0))).cast("long"))
 
 
+#: The runs that are compared with the baseline.
+TESTS = tuple(x for x in perturb.PERTURBATIONS if x != "long_horizon")
 RAW = "store, dt, sales, open, promo, school_holiday, state_holiday, customers"
 FULL = RAW + ", idx"
 
@@ -234,19 +274,20 @@ def b13_append(spark, d):
 
 @query("SELECT series_id, step, median, y_true FROM naive JOIN truth USING (series_id, step)")
 def b14_step_join(spark, d):
-    return relational.by_step(_univariate(spark, d).select("series_id", "step", "median"), _truth(spark, d))
+    f, truth = _scored(spark, d)
+    return relational.by_step(f.select("series_id", "step", "median"), truth)
 
 
 @query("SELECT series_id, step, median, y_true FROM naive JOIN truth USING (series_id, step) WHERE series_id % 2 = 0")
 def b15_length_guard(spark, d):
-    short = _truth(spark, d).filter("series_id % 2 = 0 or step < 29")
-    return relational.by_step(_univariate(spark, d).select("series_id", "step", "median"), short, strict=False)
+    f, truth = _scored(spark, d)
+    return relational.by_step(f.select("series_id", "step", "median"), truth.filter("series_id % 2 = 0 or step < 29"), strict=False)
 
 
 @query("SELECT run, series_id, step, median, base_median FROM fanned")
 def b17_fan_out(spark, d):
-    f = _forecasts(spark, d)
-    return relational.fan_out(f.filter("run = 'covariate'"), f.filter("run not in ('univariate', 'covariate', 'long_horizon')")).select("run", "series_id", "step", "median", "base_median")
+    f, _ = _forecasts(spark, d, "covariate", *TESTS)
+    return relational.fan_out(f.filter("run = 'covariate'"), f.filter("run <> 'covariate'")).select("run", "series_id", "step", "median", "base_median")
 
 
 @query(f"SELECT {RAW}, is_gap FROM gapped")
@@ -288,12 +329,26 @@ def b23_wql_outliers(spark, d):
     return relational.outliers(runs.scored_contexts(_series(spark, d)), "wql", ("context_len",)).select("context_len", "series_id", "wql", "is_outlier")
 
 
+def _mae(spark, d) -> DataFrame:
+    """MAE of the univariate forecast by series; read several times, so computed once."""
+    f, truth = _scored(spark, d)
+    return settled(f.join(truth, ["series_id", "step"]).groupBy("series_id").agg(F.round(evaluate.mae(F.col("y_true"), F.col("median")), 4).alias("mae")))
+
+
 @query("""SELECT series_id, mae, kind, rank FROM (
   SELECT series_id, mae, 'bad' AS kind, row_number() OVER (ORDER BY mae DESC, series_id) AS rank FROM scored WHERE run = 'univariate'
   UNION ALL SELECT series_id, mae, 'good', row_number() OVER (ORDER BY mae, series_id) FROM scored WHERE run = 'univariate') WHERE rank <= 3""")
 def b24_topk_worst(spark, d):
-    rows = _univariate(spark, d).join(_truth(spark, d), ["series_id", "step"]).groupBy("series_id").agg(F.round(evaluate.mae(F.col("y_true"), F.col("median")), 4).alias("mae"))
-    return relational.ranked_series(rows, "mae", "series_id")
+    return relational.ranked_series(_mae(spark, d), "mae", "series_id")
+
+
+@query("""SELECT * FROM (
+  SELECT series_id, mae, 'bad' AS kind, row_number() OVER (ORDER BY mae DESC, series_id) AS rank FROM scored WHERE run = 'univariate'
+  UNION ALL SELECT series_id, mae, 'good', row_number() OVER (ORDER BY mae, series_id) FROM scored WHERE run = 'univariate') WHERE rank <= 3
+  UNION ALL SELECT * FROM (SELECT series_id, mae, 'other', row_number() OVER (ORDER BY md5('42:' || series_id), series_id) AS rank FROM (
+    SELECT *, row_number() OVER (ORDER BY mae DESC, series_id) AS worst, row_number() OVER (ORDER BY mae, series_id) AS best FROM scored WHERE run = 'univariate') WHERE worst > 3 AND best > 3) WHERE rank <= 5""")
+def f9_selection(spark, d):
+    return relational.selection(_mae(spark, d), "mae", "series_id")
 
 
 @query("SELECT store, dt, year(dt) AS year, month(dt) AS month, day(dt) AS day, isodow(dt) - 1 AS day_of_week, weekofyear(dt) AS week_of_year, dayofyear(dt) AS day_of_year, (isodow(dt) >= 6)::BIGINT AS is_weekend FROM train")
@@ -357,13 +412,9 @@ def c19_open_cat(spark, d):
 
 @query("SELECT f.series_id, step, p10 * promo AS p10, median * promo AS median, p90 * promo AS p90 FROM naive f JOIN test ON test.store = f.series_id AND test.idx = f.step")
 def c20_gated(spark, d):
-    flags = relational.split(_series(spark, d))[1].select(F.col("store").alias("series_id"), F.col("idx").alias("step"), F.col("promo").alias("open"))
-    return relational.gated(_univariate(spark, d), flags)
-
+    past, test = relational.split(_series(spark, d))
+    return relational.gated(forecast.seasonal_naive(past), test.select(F.col("store").alias("series_id"), F.col("idx").alias("step"), F.col("promo").alias("open")))
 
-def _normal(label: str) -> str:
-    u = lambda at: f"((('0x' || substr(md5('{label}:42:' || store || ':' || idx), {at}, 8))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE"
-    return f"round(sqrt(-2 * ln({u(1)})) * cos(2 * pi() * ({u(9)})), 9)"
 
 
 @query(f"SELECT store, idx, round({_normal('noise')}, 6) AS noise_random FROM series")
@@ -414,7 +465,7 @@ def d9_scaling(spark, d):
 
 @query("SELECT series_id, step, p10, median, p90 FROM naive")
 def d10_long_horizon(spark, d):
-    return forecast.seasonal_naive(_past(spark, d), 90)
+    return runs.forecast_runs(_series(spark, d), only=("long_horizon",)).drop("run")
 
 
 @query("SELECT run, series_id, step, p10, median, p90 FROM forecasts")
@@ -427,19 +478,21 @@ _LOSS = {c: f"greatest({q}::DOUBLE * (y_true - {c}), ({q}::DOUBLE - 1) * (y_true
 
 @query("SELECT series_id, step, " + ", ".join(f"round({x}, 6) AS loss_{c}" for c, x in _LOSS.items()) + " FROM naive JOIN truth USING (series_id, step)")
 def e1_pinball(spark, d):
-    rows = _univariate(spark, d).join(_truth(spark, d), ["series_id", "step"])
+    f, truth = _scored(spark, d)
+    rows = f.join(truth, ["series_id", "step"])
     return rows.select("series_id", "step", *[F.round(evaluate.pinball(F.col("y_true"), F.col(c), q), 6).alias(f"loss_{c}") for c, q in evaluate.QUANTILES])
 
 
 @query("SELECT run, series_id, wql FROM scored WHERE run IN ('univariate', 'covariate')")
 def e2_wql(spark, d):
-    f = _forecasts(spark, d).filter("run in ('univariate', 'covariate')")
-    return f.join(_truth(spark, d), ["series_id", "step"]).groupBy("run", "series_id").agg(F.round(evaluate.wql(), 6).alias("wql"))
+    rows = _series(spark, d)
+    f = runs.forecast_runs(rows, only=("univariate", "covariate"))
+    return f.join(_truth_of(rows), ["series_id", "step"]).groupBy("run", "series_id").agg(F.round(evaluate.wql(), 6).alias("wql"))
 
 
 def _one_metric(spark, d, name, column, places: int = 4) -> DataFrame:
-    rows = _univariate(spark, d).join(_truth(spark, d), ["series_id", "step"])
-    return rows.groupBy("series_id").agg(F.round(column, places).alias(name))
+    f, truth = _scored(spark, d)
+    return f.join(truth, ["series_id", "step"]).groupBy("series_id").agg(F.round(column, places).alias(name))
 
 
 @query("SELECT series_id, mae FROM scored WHERE run = 'univariate'")
@@ -473,8 +526,8 @@ _COMPARE = """round(avg(abs(base_median - median)), 4) AS mae, round(sqrt(avg((b
 
 @query(f"SELECT run, series_id, {_COMPARE} FROM fanned GROUP BY run, series_id")
 def e8_compare(spark, d):
-    f = _forecasts(spark, d)
-    out = evaluate.compare(relational.fan_out(f.filter("run = 'covariate'"), f.filter("run not in ('univariate', 'covariate', 'long_horizon')")))
+    f, _ = _forecasts(spark, d, "covariate", *TESTS)
+    out = evaluate.compare(relational.fan_out(f.filter("run = 'covariate'"), f.filter("run <> 'covariate'")))
     return out.select("run", "series_id", *[F.round(c, 4).alias(c) for c in out.columns[2:]])
 
 
@@ -492,11 +545,10 @@ def _report_sql() -> str:
     five(first, 1, "Covariates vs Univariate", "Univariate", "Covariates")
     for order, (run, label) in enumerate((("univariate", "Univariate"), ("covariate", "Covariates")), 2):
         parts.extend(f"SELECT {order * 100 + i}, {x} FROM ({total}) WHERE run = '{run}'" for i, x in enumerate((f"'> {label} vs Ground Truth'", "'WQL: ' || printf('%.4f', w)", "''")))
-    tests = [x for x in perturb.PERTURBATIONS if x != "long_horizon"]
-    for order, run in enumerate(tests, 4):
+    for order, run in enumerate(TESTS, 4):
         p = perturb.PERTURBATIONS[run]
         five(f"SELECT * FROM ({wide}) WHERE run = '{run}'", order, f"{p.title} vs Covariates", "Covariates", p.label)
-    at = (4 + len(tests)) * 100
+    at = (4 + len(TESTS)) * 100
     texts = ["> Long Horizon Test", *report.LONG_TEXT]
     parts.extend(f"SELECT {at + i}, '{x}'" for i, x in enumerate(texts))
     parts.append(f"SELECT {at + 3}, 'Average prediction interval width: ' || printf('%.4f', avg(p90 - p10)) FROM forecasts WHERE run = 'long_horizon'")
@@ -505,14 +557,16 @@ def _report_sql() -> str:
 
 @query(_report_sql())
 def e10_report(spark, d):
-    return report.build(spark, _forecasts(spark, d), settled(_truth(spark, d)))
+    f, rows = _forecasts(spark, d)
+    return report.build(spark, f, _truth_of(rows))
 
 
 @query("""SELECT series_id, round(avg(abs(median - y_true)), 4) AS mae_all, round(avg(abs(median - y_true)) FILTER (promo = 1), 4) AS mae_open, round(avg(abs(median - y_true)) FILTER (promo = 0), 4) AS mae_closed
   FROM naive JOIN truth USING (series_id, step) JOIN test ON test.store = series_id AND test.idx = step GROUP BY series_id""")
 def e12_mae_split(spark, d):
-    test = relational.split(_series(spark, d))[1].select(F.col("store").alias("series_id"), F.col("idx").alias("step"), F.col("sales").alias("y_true"), "promo")
-    out = evaluate.mae_by_state(_univariate(spark, d).join(test, ["series_id", "step"]), "promo")
+    past, test = relational.split(_series(spark, d))
+    test = test.select(F.col("store").alias("series_id"), F.col("idx").alias("step"), F.col("sales").alias("y_true"), "promo")
+    out = evaluate.mae_by_state(forecast.seasonal_naive(past).join(test, ["series_id", "step"]), "promo")
     return out.select("series_id", *[F.round(c, 4).alias(c) for c in out.columns[1:]])
 
 
@@ -529,13 +583,14 @@ def f1_forecast(spark, d):
 
 @query("SELECT series_id, step, median, p10, p90, y_true FROM naive JOIN truth USING (series_id, step)")
 def f2_vs_truth(spark, d):
-    return figures.forecast_vs_truth(_univariate(spark, d), _truth(spark, d))
+    return figures.forecast_vs_truth(*_scored(spark, d))
 
 
 @query("""SELECT store AS series_id, idx - n + 90 AS x, CASE WHEN idx < n - 30 THEN 'real_past' ELSE 'real_future' END AS series, sales AS value FROM series WHERE idx >= n - 90
   UNION ALL SELECT series_id, step + 60, s, CASE s WHEN 'p10' THEN p10 WHEN 'median' THEN median ELSE p90 END FROM naive, unnest(['p10', 'median', 'p90']) AS t(s) WHERE step < 30""")
 def f3_case_study(spark, d):
-    return figures.case_study(_series(spark, d), _univariate(spark, d))
+    rows = _series(spark, d)
+    return figures.case_study(rows, forecast.seasonal_naive(relational.split(rows)[0]))
 
 
 _PAIR = "FROM fanned WHERE run = 'time_shift'"
@@ -562,15 +617,21 @@ def f7_uncertainty(spark, d):
     return out.withColumn("width", F.round("width", 6))
 
 
-@query("""SELECT figure, series, count(*) AS points FROM (
-  SELECT 'forecast_' || run AS figure, s AS series FROM forecasts, unnest(['median', 'p10', 'p90']) AS t(s) WHERE run IN ('univariate', 'covariate', 'long_horizon')
-  UNION ALL SELECT 'truth_' || run, s FROM forecasts JOIN truth USING (series_id, step), unnest(['median', 'p10', 'p90', 'y_true']) AS t(s) WHERE run IN ('univariate', 'covariate')
-  UNION ALL SELECT 'case_' || r, CASE WHEN idx < n - 30 THEN 'real_past' ELSE 'real_future' END FROM series, unnest(['univariate', 'covariate']) AS t(r) WHERE idx >= n - 90
-  UNION ALL SELECT 'case_' || run, s FROM forecasts, unnest(['median', 'p10', 'p90']) AS t(s) WHERE run IN ('univariate', 'covariate') AND step < 30
-  UNION ALL SELECT 'compare_' || run, s FROM fanned, unnest(['base_median', 'median', 'difference', 'percent']) AS t(s)
-  UNION ALL SELECT 'width_' || run, 'width' FROM forecasts WHERE run IN ('covariate', 'missing_future', 'scaling')) GROUP BY 1, 2""")
+_OF = "CASE s WHEN 'median' THEN median WHEN 'p10' THEN p10 WHEN 'p90' THEN p90 {} END"
+
+
+@query(f"""SELECT figure, series, count(*) AS points, sum(round(y * 100)::BIGINT)::BIGINT AS total, sum(round(y * 100)::BIGINT * (x + series_id))::BIGINT AS weighted FROM (
+  SELECT 'forecast_' || run AS figure, s AS series, series_id, step AS x, {_OF.format('')} AS y FROM forecasts, unnest(['median', 'p10', 'p90']) AS t(s) WHERE run IN ('univariate', 'covariate', 'long_horizon')
+  UNION ALL SELECT 'truth_' || run, s, series_id, step, {_OF.format("WHEN 'y_true' THEN y_true")} FROM forecasts JOIN truth USING (series_id, step), unnest(['median', 'p10', 'p90', 'y_true']) AS t(s) WHERE run IN ('univariate', 'covariate')
+  UNION ALL SELECT 'case_' || r, CASE WHEN idx < n - 30 THEN 'real_past' ELSE 'real_future' END, store, idx - n + 90, sales FROM series, unnest(['univariate', 'covariate']) AS t(r) WHERE idx >= n - 90
+  UNION ALL SELECT 'case_' || run, s, series_id, step + 60, {_OF.format('')} FROM forecasts, unnest(['median', 'p10', 'p90']) AS t(s) WHERE run IN ('univariate', 'covariate') AND step < 30
+  UNION ALL SELECT 'compare_' || run, s, series_id, step, {_OF.format("WHEN 'base_median' THEN base_median WHEN 'difference' THEN median - base_median ELSE 100 * (median - base_median) / (abs(base_median) + 1e-6)")}
+    FROM fanned, unnest(['base_median', 'median', 'difference', 'percent']) AS t(s)
+  UNION ALL SELECT 'width_' || run, 'width', series_id, step, p90 - p10 FROM forecasts WHERE run IN ('covariate', 'missing_future', 'scaling')) GROUP BY 1, 2""")
 def f8_figures(spark, d):
-    return figures.all_figures(_series(spark, d), _forecasts(spark, d), settled(_truth(spark, d))).groupBy("figure", "series").agg(F.count("*").alias("points"))
+    f, rows = _forecasts(spark, d)
+    cents = F.round(F.col("y") * 100).cast("long")
+    return figures.all_figures(rows, f, _truth_of(rows)).groupBy("figure", "series").agg(F.count("*").alias("points"), F.sum(cents).alias("total"), F.sum(cents * (F.col("x") + F.col("series_id"))).alias("weighted"))
 
 
 @query("SELECT series_id, step, p10, median, p90 FROM naive WHERE step < 30")
@@ -581,25 +642,37 @@ def g4_univariate(spark, d):
 @query("SELECT series_id, step, p10, median, p90 FROM forecasts WHERE run = 'covariate'")
 def g5_covariates(spark, d):
     past, test = relational.split(_series(spark, d))
-    return forecast.covariate_naive(past, test, runs.COVARIATES)
+    return forecast.covariate_naive(past, test, runs.COVARIATES, observed=("customers", "open"))
+
 
+_LISTED = "md5(string_agg((round({}::FLOAT::DOUBLE * 100)::BIGINT)::VARCHAR, ',' ORDER BY idx))"
 
-@query("""SELECT p.store, p.target_n, p.total, p.promos, f.future_n, f.future_promos FROM (
-  SELECT store, count(*) AS target_n, round(sum(sales::FLOAT::DOUBLE), 2) AS total, sum(promo)::DOUBLE AS promos FROM past GROUP BY store) p
-  JOIN (SELECT store, count(*) AS future_n, sum(promo)::DOUBLE AS future_promos FROM test GROUP BY store) f USING (store)""")
+
+@query(f"""SELECT p.store, target_n, target, past_customers, past_promo, future_n, future_promo FROM (
+  SELECT store, count(*) AS target_n, {_LISTED.format('sales')} AS target, {_LISTED.format('customers')} AS past_customers, {_LISTED.format('promo')} AS past_promo FROM past GROUP BY store) p
+  JOIN (SELECT store, count(*) AS future_n, {_LISTED.format('promo')} AS future_promo FROM test GROUP BY store) f USING (store)""")
 def g6_tasks(spark, d):
     past, test = relational.split(_series(spark, d))
     t = forecast.tasks(past, ["customers", "promo", "school_holiday"], ["promo"], test)
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return t.select(
-        "store", F.size("target").cast("long").alias("target_n"), F.round(total(F.col("target")), 2).alias("total"), total(F.col("past_covariates")["promo"]).alias("promos"), F.size(F.col("future_covariates")["promo"]).cast("long").alias("future_n"), total(F.col("future_covariates")["promo"]).alias("future_promos")
-    )
+    listed = lambda c: F.md5(F.array_join(F.transform(c, lambda x: F.round(x.cast("double") * 100).cast("long").cast("string")), ","))
+    own, ahead = F.col("past_covariates"), F.col("future_covariates")
+    return t.select("store", F.size("target").cast("long").alias("target_n"), listed(F.col("target")).alias("target"), listed(own["customers"]).alias("past_customers"), listed(own["promo"]).alias("past_promo"), F.size(ahead["promo"]).cast("long").alias("future_n"), listed(ahead["promo"]).alias("future_promo"))
 
 
-@query()
+@query("""SELECT past.store AS series_id, step, round(sales::FLOAT::DOUBLE + low - mid, 3) AS p10, round(sales::FLOAT::DOUBLE, 3) AS median, round(sales::FLOAT::DOUBLE + high - mid, 3) AS p90
+  FROM past JOIN (SELECT store, quantile_cont(d, 0.1) AS low, quantile_cont(d, 0.5) AS mid, quantile_cont(d, 0.9) AS high, count(*) AS m FROM (
+    SELECT store, sales::FLOAT::DOUBLE - lag(sales::FLOAT::DOUBLE, 7) OVER (PARTITION BY store ORDER BY idx) AS d FROM past) GROUP BY store) USING (store)
+  JOIN steps ON past.idx - (m - 7) = step % 7 WHERE past.idx >= m - 7 AND step < 30""")
 def g7_hosted_model(spark, d):
     task_rows = forecast.tasks(_past(spark, d), ["promo"], ["promo"])
-    return forecast.widened(forecast.hosted(task_rows, forecast.repeated_season()))
+    out = forecast.widened(forecast.hosted(task_rows, forecast.repeated_season()))
+    return out.select("series_id", "step", *[F.round(c, 3).alias(c) for c in ("p10", "median", "p90")])
+
+
+@query("""SELECT store, target_n AS target, target_n AS past_promo, 30 AS future_promo FROM (SELECT store, count(*) AS target_n FROM past GROUP BY store)""")
+def g8_task_shapes(spark, d):
+    shapes = forecast.task_shapes(forecast.tasks(_past(spark, d), ["promo"], ["promo"]))
+    return shapes.select("store", F.col("target").cast("long").alias("target"), F.col("past_covariates")["promo"].cast("long").alias("past_promo"), F.col("future_covariates")["promo"].alias("future_promo"))
 
 
 @query("""SELECT series, step, round(median, 3) AS median FROM (

@@ -43,6 +43,12 @@ def write_processed(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
 
 
+def read_processed(spark: SparkSession, path: str, *columns: str, fmt: str = "parquet") -> DataFrame:
+    """What write_processed wrote, or some columns of it; no others are read from Parquet."""
+    df = spark.read.option("header", True).option("inferSchema", True).csv(path) if fmt == "csv" else spark.read.parquet(path)
+    return df.select(*columns) if columns else df
+
+
 def write_truth(test: DataFrame, path: str, target: str = "target") -> None:
     test.select("series_id", "step", F.col(target).alias("y_true")).write.mode("overwrite").parquet(path)
 

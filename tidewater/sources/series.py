@@ -46,7 +46,7 @@ def train(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """store, store_name, region, competition (a double with gaps): one row a nation."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_nationkey").cast("long").alias("store"), F.col("n_name").alias("store_name"), F.col("r_name").alias("region"), F.when(F.col("n_nationkey") % 4 != 0, F.col("n_nationkey") * 10.0).alias("competition")
     )
 
