@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or what was set on the context.
+
+    Where neither is set, a session on one machine gets a new local folder, as in
+    tests; on a cluster that would be a folder that no other machine sees, so it is
+    an error.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidewater-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once, as a Parquet table in the folder of spark.checkpoint.dir, which all machines share.
+    """df computed once, as a Parquet table in the shared folder.
 
     Lost executors lose nothing of it, and later plans read only the columns and
     rows that they need.
     """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{base.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

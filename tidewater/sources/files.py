@@ -53,9 +53,9 @@ def write_truth(test: DataFrame, path: str, target: str = "target") -> None:
     test.select("series_id", "step", F.col(target).alias("y_true")).write.mode("overwrite").parquet(path)
 
 
-def write_forecasts(forecasts: DataFrame, path: str, *by: str) -> None:
+def write_forecasts(forecasts: DataFrame, path: str, *by: str, mode: str = "overwrite") -> None:
     """One folder per run, or per the columns named (context_len, series_id)."""
-    forecasts.write.mode("overwrite").partitionBy(*(by or ("run",))).parquet(path)
+    forecasts.write.mode(mode).partitionBy(*(by or ("run",))).parquet(path)
 
 
 def not_yet_written(requested: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
