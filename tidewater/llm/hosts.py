@@ -9,7 +9,7 @@ from .scratch import written
 
 #: verdict by rule: a host with all its subdomains, and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-DAMPING, SETTLED, THRESHOLD = 0.85, 1e-6, 0.5
+DAMPING, SETTLED, THRESHOLD = 0.85, 1e-4, 0.5
 #: Host tables up to this many rows are sent to every executor; longer ones are joined by shuffle.
 SENT_HOSTS = 100_000
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""

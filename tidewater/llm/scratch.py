@@ -6,19 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a session without one cannot run operators that write."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+from tidewater.plans.settle import shared_folder
 
 
 def place(spark: SparkSession, name: str) -> str:
-    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the driver and all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, *by: str) -> DataFrame:
