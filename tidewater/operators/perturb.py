@@ -24,8 +24,22 @@ def _require(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns not found: {missing}")
 
 
-def _length(key: str) -> Column:
-    return F.count("*").over(Window.partitionBy(key))
+#: A column that, where it is there, holds how many rows the series has; else it is counted.
+LENGTH = "__length"
+
+
+def sized(df: DataFrame, key: str = "store") -> DataFrame:
+    """df with LENGTH, so that many perturbations of it count once."""
+    return df if LENGTH in df.columns else df.withColumn(LENGTH, F.count("*").over(Window.partitionBy(key)))
+
+
+def _with_length(df: DataFrame, key: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    out = change(sized(df, key))
+    return out if LENGTH in df.columns else out.drop(LENGTH)
+
+
+def _numbers(df: DataFrame, columns: Iterable[str] | None, key: str, target: str) -> list[str]:
+    return list(columns) if columns is not None else numeric_columns(df, (key, "idx", target, LENGTH))
 
 
 def uniform(name: Column, at: int) -> Column:
@@ -46,7 +60,7 @@ def noise(df: DataFrame, key: str = "store", seed: int = SEED) -> DataFrame:
 
 def strong_noise(df: DataFrame, columns: Iterable[str] | None = None, scale: float = 10.0, key: str = "store", target: str = "sales", seed: int = SEED) -> DataFrame:
     """Normal noise times scale on every numeric column but key, idx and target; missing values count as 0."""
-    names = list(columns) if columns is not None else numeric_columns(df, (key, "idx", target))
+    names = _numbers(df, columns, key, target)
     return df.withColumns({c: scrubbed(c) + scale * normal(c, key, seed) for c in names})
 
 
@@ -62,13 +76,13 @@ def shuffled(df: DataFrame, column: str = "promo", key: str = "store", seed: int
 def missing_future(df: DataFrame, column: str = "school_holiday", horizon: int = 30, key: str = "store") -> DataFrame:
     """The last `horizon` values become 0."""
     _require(df, column)
-    return df.withColumn("__n", _length(key)).withColumn(column, F.when(F.col("idx") >= F.col("__n") - horizon, 0).otherwise(F.col(column))).drop("__n")
+    return _with_length(df, key, lambda x: x.withColumn(column, F.when(F.col("idx") >= F.col(LENGTH) - horizon, 0).otherwise(F.col(column))))
 
 
 def time_shift(df: DataFrame, column: str = "promo", shift: int = 7, key: str = "store") -> DataFrame:
     """The column moved on by `shift` places, its end coming round to the start."""
     _require(df, column)
-    moved = df.withColumn("__n", _length(key)).select(key, F.pmod(F.col("idx") + shift, F.col("__n")).alias("idx"), F.col(column).alias("__moved"))
+    moved = sized(df, key).select(key, F.pmod(F.col("idx") + shift, F.col(LENGTH)).alias("idx"), F.col(column).alias("__moved"))
     return df.join(moved, [key, "idx"]).withColumn(column, F.col("__moved")).select(*df.columns)
 
 
@@ -77,8 +91,8 @@ def trend_break(df: DataFrame, magnitude: float = 0.5, start: float = 0.8, colum
     found = next((c for c in columns if c in df.columns), None)
     if found is None:
         raise ValueError(f"none of {columns} found")
-    later = F.col("idx") >= (F.col("__n") * F.lit(float(start))).cast("long")
-    return df.withColumn("__n", _length(key)).withColumn(found, F.when(later, F.col(found) * F.lit(1.0 + magnitude)).otherwise(F.col(found).cast("double"))).drop("__n")
+    later = F.col("idx") >= (F.col(LENGTH) * F.lit(float(start))).cast("long")
+    return _with_length(df, key, lambda x: x.withColumn(found, F.when(later, F.col(found) * F.lit(1.0 + magnitude)).otherwise(F.col(found).cast("double"))))
 
 
 def feature_drop(df: DataFrame, columns: tuple[str, ...] = ("promo", "school_holiday")) -> DataFrame:
@@ -87,13 +101,13 @@ def feature_drop(df: DataFrame, columns: tuple[str, ...] = ("promo", "school_hol
 
 def partial_mask(df: DataFrame, ratio: float = 0.3, columns: Iterable[str] | None = None, key: str = "store", target: str = "sales") -> DataFrame:
     """Every numeric column but key, idx and target becomes 0 in the last `ratio` of the series (the place as double arithmetic has it)."""
-    names = list(columns) if columns is not None else numeric_columns(df, (key, "idx", target))
-    masked = F.col("idx") >= (F.col("__n") * (F.lit(1.0) - F.lit(float(ratio)))).cast("long")
-    return df.withColumn("__n", _length(key)).withColumns({c: F.when(masked, F.lit(0.0)).otherwise(F.col(c).cast("double")) for c in names}).drop("__n")
+    names = _numbers(df, columns, key, target)
+    masked = F.col("idx") >= (F.col(LENGTH) * (F.lit(1.0) - F.lit(float(ratio)))).cast("long")
+    return _with_length(df, key, lambda x: x.withColumns({c: F.when(masked, F.lit(0.0)).otherwise(F.col(c).cast("double")) for c in names}))
 
 
 def scaling(df: DataFrame, scale: float = 2.0, columns: Iterable[str] | None = None, key: str = "store", target: str = "sales") -> DataFrame:
-    names = list(columns) if columns is not None else numeric_columns(df, (key, "idx", target))
+    names = _numbers(df, columns, key, target)
     return df.withColumns({c: F.col(c) * F.lit(float(scale)) for c in names})
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators import forecast, perturb, relational
+from tidewater.plans.settle import settled
 from tidewater.sources import series
 
 TEST_SIZE, SHORTEST = 30, 120
@@ -44,13 +45,17 @@ def forecast_runs(rows: DataFrame, test_size: int = TEST_SIZE, long_horizon: int
     wanted = lambda run: only is None or run in only
     past = rows if origin == "full" else relational.split(rows, test_size)[0]
     parts = [forecast.seasonal_naive(past, n).withColumn("run", F.lit(run)) for run, n in (("univariate", test_size), ("long_horizon", long_horizon)) if wanted(run)]
-    told = [_told(rows, "covariate", COVARIATES)] if wanted("covariate") else []
-    told += [_told(p.apply(rows), run, p.known_future) for run, p in perturb.PERTURBATIONS.items() if run != "long_horizon" and wanted(run)]
+    # Only what runs may have goes through their changes; a wide table's other columns would be read for nothing.
+    lean = rows.select("store", "idx", "sales", *[c for c in ALL_COVARIATES if c in rows.columns])
+    if any(wanted(r) for r in perturb.PERTURBATIONS if r != "long_horizon"):
+        lean = settled(perturb.sized(lean))
+    told = [_told(lean, "covariate", COVARIATES)] if wanted("covariate") else []
+    told += [_told(p.apply(lean), run, p.known_future) for run, p in perturb.PERTURBATIONS.items() if run != "long_horizon" and wanted(run)]
     if told:
         every = told[0]
         for one in told[1:]:
             every = every.unionByName(one)
-        every = every.withColumn("key", F.concat_ws(":", "run", F.col("store").cast("string")))
+        every = settled(every.withColumn("key", F.concat_ws(":", "run", F.col("store").cast("string"))))
         told_past, told_test = relational.split(every, test_size, "key")
         ahead = told_test.select("key", "idx", *[F.col(f"ahead_{c}").alias(c) for c in COVARIATES])
         moved = forecast.covariate_naive(every if origin == "full" else told_past, ahead, COVARIATES, test_size, "sales", "key", observed=ALL_COVARIATES)
