@@ -22,6 +22,17 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of up to this many rows, of a few numbers each, are worked on by one task.
+FEW = 1 << 17
+
+
+def gathered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(df as a written table, its rows): one of FEW rows at most comes in one partition, so that its groups and joins need no shuffle."""
+    table = written(df, name)
+    rows = table.count()
+    return (table.coalesce(1) if rows <= FEW else table), rows
+
+
 def filesystem(uri: str):
     """(Arrow file system, path) of a URI, on the driver or an executor."""
     from pyarrow import fs
