@@ -17,6 +17,11 @@ def docs_of(spark):
 ODD = [(None, "no id at all here now", None), (1, None, "s"), (2, "", "s"), (3, "one", None), (4, "  \n\t ", "s"), (5, "é ß 日本 😀", ""), (5, "é ß 日本 😀", ""), (6, "w " * 30000, "s"), (7, "x" * 100000, "s")]
 
 
+@pytest.fixture(scope="session")
+def odd_rows():
+    return list(ODD)
+
+
 @pytest.fixture(scope="session")
 def odd(docs_of):
     return docs_of(ODD)

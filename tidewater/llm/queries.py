@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import articles, fingerprints, hosts, leaks, mixing, near, pseudonyms, quality, substrings, tokens
+from . import articles, fingerprints, hosts, leaks, lines, mixing, near, pseudonyms, quality, search, substrings, tokens, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("class_size").cast("long").alias("class_size"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_shared(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 QUERIES = {
     "op1_url_trust": op1_url_trust,
     "op2_source_mix": op2_source_mix,
@@ -84,9 +96,14 @@ QUERIES = {
     "op8_article_text": op8_article_text,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE_SQL = {
     "op2_source_mix": mixing.mix_sql(),
     "op9_substring_dedup": substrings.SQL,
+    "op12_ranked_search": search.SQL,
+    "op13_line_dedup": lines.SQL,
 }
