@@ -54,6 +54,18 @@ def compare(pairs: DataFrame, by: Iterable[str] = ("run", "series_id")) -> DataF
     )
 
 
+def score_levels(rows: DataFrame, levels: Iterable[Iterable[str]]) -> DataFrame:
+    """WQL, MAE and number of steps at several levels of detail at once: one expansion and one aggregate for all.
+
+    levels: sets of columns to group by, () for the total. Columns that a level does
+    not group by are null there; grouping_id tells such nulls from those in the data.
+    """
+    levels = [list(x) for x in levels]
+    names = list(dict.fromkeys(c for x in levels for c in x))
+    out = rows.groupingSets([[F.col(c) for c in x] for x in levels], *names)
+    return out.agg(F.grouping_id().alias("grouping_id"), F.count("*").alias("steps"), wql().alias("wql"), mae(F.col("y_true"), F.col("median")).alias("mae"))
+
+
 def as_rows(metrics: DataFrame, by: Iterable[str], names: Iterable[str]) -> DataFrame:
     """Wide metrics as (…, ord, metric, value)."""
     items = F.array(*[F.struct(F.lit(i).cast("long").alias("ord"), F.lit(n).alias("metric"), F.col(n).alias("value")) for i, n in enumerate(names)])

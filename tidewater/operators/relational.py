@@ -1,6 +1,8 @@
 """Joins, filters, fills, splits and slices over series keyed by a column and ordered by another.
 
 Every window is partitioned by the series; idx is the 0-based place of a row in it.
+Fills and splits take key None for a table that is one series, in the order of the
+columns given; then idx is added and no window spans the rows.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.encode import numeric_columns
+from tidewater.operators import single
 
 
 def left_join(fact: DataFrame, dim: DataFrame, key: str, match_nulls: bool = False) -> DataFrame:
@@ -35,7 +38,10 @@ def with_target(df: DataFrame, target: str = "sales") -> DataFrame:
     return df.na.drop(subset=[target])
 
 
-def _filled(df: DataFrame, key: str, order: str, columns: Iterable[str] | None, backward: bool) -> DataFrame:
+def _filled(df: DataFrame, key: str | None, order: str | Iterable[str], columns: Iterable[str] | None, backward: bool) -> DataFrame:
+    if key is None:
+        by = [order] if isinstance(order, str) else list(order)
+        return single.filled(single.place(df, by), columns or [c for c in df.columns if c not in by], backward)
     # What follows a row is what precedes it in the other order, so both frames only ever grow.
     up, down = (Window.partitionBy(key).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col(order).asc(), F.col(order).desc()))
     names = [c for c in (columns or df.columns) if c not in (key, order)]
@@ -44,12 +50,12 @@ def _filled(df: DataFrame, key: str, order: str, columns: Iterable[str] | None,
     return df.select(*[value(c).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
-def forward_fill(df: DataFrame, key: str = "store", order: str = "dt", columns: Iterable[str] | None = None) -> DataFrame:
+def forward_fill(df: DataFrame, key: str | None = "store", order: str | Iterable[str] = "dt", columns: Iterable[str] | None = None) -> DataFrame:
     """The last value before a gap, in every column but key and order."""
     return _filled(df, key, order, columns, False)
 
 
-def fill_both(df: DataFrame, key: str = "store", order: str = "dt", columns: Iterable[str] | None = None) -> DataFrame:
+def fill_both(df: DataFrame, key: str | None = "store", order: str | Iterable[str] = "dt", columns: Iterable[str] | None = None) -> DataFrame:
     """Forward fill, then what still misses at the start from the first value."""
     return _filled(df, key, order, columns, True)
 
@@ -63,11 +69,14 @@ def clean(df: DataFrame, key: str = "store", order: str = "dt") -> DataFrame:
     return fill_both(with_target(open_rows(df)), key, order)
 
 
-def split(df: DataFrame, test_size: int = 30, key: str = "store") -> tuple[DataFrame, DataFrame]:
+def split(df: DataFrame, test_size: int = 30, key: str | None = "store", order: str | Iterable[str] = "dt") -> tuple[DataFrame, DataFrame]:
     """(past, test): all but the last test_size rows of each series, and those, both with idx from 0.
 
-    A series of test_size rows or fewer raises when the result is computed.
+    A series of test_size rows or fewer raises when the result is computed, or at
+    once if the table is one series, whose order counts in place of idx.
     """
+    if key is None:
+        return single.split(single.place(df, order), test_size)
     n = F.count("*").over(Window.partitionBy(key))
     sized = df.withColumn("__n", n)
     guard = F.when(F.col("__n") <= test_size, F.raise_error(F.lit("Dataset too small for temporal split")).cast("long")).otherwise(F.col("__n"))
@@ -100,6 +109,15 @@ def covariate_names(df: DataFrame, target: str, also: Iterable[str] = (), withou
     return sorted({*numeric_columns(df, (target, *without)), *also})
 
 
+def numeric_profile(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """covariate, n, null_share, least, greatest of each named column: one aggregate over the table, no row of it to the driver."""
+    names = list(names)
+    one = lambda i, c: [F.count(c).alias(f"n_{i}"), F.min(c).cast("double").alias(f"least_{i}"), F.max(c).cast("double").alias(f"greatest_{i}")]
+    wide = df.agg(F.count("*").alias("n"), *[x for i, c in enumerate(names) for x in one(i, c)])
+    items = F.array(*[F.struct(F.lit(c).alias("covariate"), F.col("n"), (1 - F.col(f"n_{i}") / F.greatest("n", F.lit(1))).alias("null_share"), F.col(f"least_{i}").alias("least"), F.col(f"greatest_{i}").alias("greatest")) for i, c in enumerate(names)])
+    return wide.select(F.explode(items).alias("x")).select("x.*")
+
+
 def tail(df: DataFrame, horizon: int, key: str = "store") -> DataFrame:
     """The last `horizon` rows of each series, with step from 0. Only the rank by group limit is sorted."""
     w = Window.partitionBy(key).orderBy(F.col("idx").desc())

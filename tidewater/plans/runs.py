@@ -69,12 +69,18 @@ def forecast_runs(rows: DataFrame, test_size: int = TEST_SIZE, long_horizon: int
     return out
 
 
+def context_forecasts(past: DataFrame, lengths=(128, 256, 512), horizon: int = TEST_SIZE) -> DataFrame:
+    """context_len, series_id, step, p10, median, p90: the model on the last L rows of the past, for every L."""
+    cut = relational.contexts(past, lengths).withColumn("key", F.concat_ws(":", F.col("context_len").cast("string"), F.col("store").cast("string")))
+    cut = series.indexed(cut.drop("idx"), "key", "dt")
+    f = forecast.seasonal_naive(cut, horizon, "sales", "key").withColumn("context_len", F.substring_index("series_id", ":", 1).cast("long"))
+    return f.withColumn("series_id", F.substring_index("series_id", ":", -1).cast("long")).select("context_len", "series_id", "step", "p10", "median", "p90")
+
+
 def scored_contexts(rows: DataFrame, lengths=(128, 256, 512), test_size: int = TEST_SIZE) -> DataFrame:
-    """context_len, series_id, wql: the model on the last L rows of the past, for every L."""
+    """context_len, series_id, wql of the forecasts from every context."""
     from tidewater.operators import evaluate
 
     past, test = relational.split(rows, test_size)
-    cut = relational.contexts(past, lengths).withColumn("key", F.concat_ws(":", F.col("context_len").cast("string"), F.col("store").cast("string")))
-    cut = series.indexed(cut.drop("idx"), "key", "dt")
-    f = forecast.seasonal_naive(cut, test_size, "sales", "key").withColumn("context_len", F.substring_index("series_id", ":", 1).cast("long")).withColumn("series_id", F.substring_index("series_id", ":", -1).cast("long"))
+    f = context_forecasts(past, lengths, test_size)
     return f.join(truth(test), ["series_id", "step"]).groupBy("context_len", "series_id").agg(F.round(evaluate.wql(), 6).alias("wql"))

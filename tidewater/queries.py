@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions import calendar, encode
-from tidewater.operators import evaluate, forecast, perturb, relational
+from tidewater.functions import calendar, encode, table
+from tidewater.operators import evaluate, forecast, perturb, relational, sessions, single, sketches, timed
 from tidewater.plans import figures, report, runs
 from tidewater.plans.settle import settled
 from tidewater.sources import series
@@ -15,7 +17,6 @@ QUERIES: dict = {}
 SQL: dict = {}
 
 
-
 def _normal(label: str) -> str:
     u = lambda at: f"((('0x' || substr(md5('{label}:42:' || store || ':' || idx), {at}, 8))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE"
     return f"round(sqrt(-2 * ln({u(1)})) * cos(2 * pi() * ({u(9)})), 9)"
@@ -130,13 +131,37 @@ scored AS (
 """.replace("{told}", _told_sql())
 
 
+def _tables(prelude: str) -> dict[str, str]:
+    """The prelude's tables by name, each with its SQL, in order."""
+    heads = list(re.finditer(r"(?m)^(?:WITH )?(\w+) AS \(", prelude))
+    ends = [x.start() for x in heads[1:]] + [len(prelude)]
+    return {x[1]: prelude[x.end() : end].rstrip().rstrip(",").rstrip()[:-1] for x, end in zip(heads, ends, strict=True)}
+
+
+TABLES = _tables(PRELUDE)
+#: Read more than once in some queries, so made once.
+ONCE = ("series", "naive", "told", "forecasts", "context_forecast")
+
+
+def with_tables(sql: str) -> str:
+    """sql with the tables of the prelude that it needs, and those that they need."""
+    needed, seen = [sql], set()
+    while needed:
+        text = needed.pop()
+        new = [t for t in TABLES if t not in seen and re.search(rf"\b{t}\b", text)]
+        seen.update(new)
+        needed += [TABLES[t] for t in new]
+    parts = [f"{t} AS {'MATERIALIZED ' if t in ONCE else ''}({TABLES[t]})" for t in TABLES if t in seen]
+    return (f"WITH {', '.join(parts)} " if parts else "") + sql
+
+
 def query(sql: str | None = None):
     """Registers a function as a query under its own name."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = PRELUDE + sql
+            SQL[f.__name__] = with_tables(sql)
         return f
 
     return add
@@ -250,10 +275,14 @@ def b9_covariates_sorted(spark, d):
     return relational.sorted_columns(df.select("store", "idx", "school_holiday", "promo", "open", "customers"), ("store", "idx"))
 
 
-@query("SELECT unnest(['customers', 'open', 'promo', 'school_holiday']) AS covariate")
+_NUMERIC = ("customers", "open", "promo", "sales", "school_holiday")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS covariate, count(*) AS n, round(1 - count({c}) / count(*), 9) AS null_share, min({c})::DOUBLE AS least, max({c})::DOUBLE AS greatest FROM train" for c in _NUMERIC))
 def b10_numeric_columns(spark, d):
-    names = relational.covariate_names(_series(spark, d), "sales", ("promo",), ("store", "idx"))
-    return spark.createDataFrame([(x,) for x in names], "covariate string")
+    rows = _train(spark, d)
+    out = relational.numeric_profile(rows, relational.covariate_names(rows, "dt", ("promo",), ("store",)))
+    return out.withColumn("null_share", F.round("null_share", 9))
 
 
 @query("SELECT store, idx - n + 30 AS step, promo, school_holiday FROM series WHERE idx >= n - 30")
@@ -683,6 +712,118 @@ def g8_events_hourly(spark, d):
     return forecast.seasonal_naive(rows, 90, "target", "series").select(F.col("series_id").alias("series"), "step", F.round("median", 3).alias("median"))
 
 
+_ONE = "(ORDER BY dt, store ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_FILLED_ONE = ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER {_ONE}, first_value({c} IGNORE NULLS) OVER {_ONE.replace('UNBOUNDED PRECEDING AND CURRENT ROW', 'CURRENT ROW AND UNBOUNDED FOLLOWING')}) AS {c}" for c in ("sales", "open", "promo", "school_holiday", "state_holiday", "customers"))
+
+
+@query(f"SELECT store, dt, {_FILLED_ONE}, row_number() OVER (ORDER BY dt, store) - 1 AS idx FROM train")
+def b5_single_series(spark, d):
+    """The whole table as one series, filled in many tasks."""
+    return relational.fill_both(_train(spark, d), None, ("dt", "store"))
+
+
+@query(f"SELECT {RAW}, row_number() OVER (ORDER BY dt, store) - 1 AS idx FROM train QUALIFY row_number() OVER (ORDER BY dt DESC, store DESC) > 30")
+def b7_single_past(spark, d):
+    return relational.split(_train(spark, d), 30, None, ("dt", "store"))[0]
+
+
+@query("""SELECT a.store, a.dt, b.promo, a.idx FROM (SELECT *, row_number() OVER (ORDER BY dt, store) - 1 AS idx FROM train) a
+  JOIN (SELECT promo, (row_number() OVER (ORDER BY dt, store) - 1 + 7) % count(*) OVER () AS idx FROM train) b USING (idx)""")
+def d5_single_shift(spark, d):
+    return single.time_shift(single.place(_train(spark, d).select("store", "dt", "promo"), ("dt", "store")))
+
+
+@query("""SELECT f.series_id, f.step, f.dt, f.median, CASE WHEN f.dt - t.dt <= 2 THEN t.dt END AS matched_dt, CASE WHEN f.dt - t.dt <= 2 THEN t.sales END AS matched_sales
+  FROM (SELECT n.series_id, n.step, n.median, (l.dt + (1 + n.step)::INT)::DATE AS dt FROM naive n JOIN (SELECT store, max(dt) AS dt FROM past GROUP BY store) l ON l.store = n.series_id) f
+  ASOF LEFT JOIN (SELECT store AS series_id, dt, sales FROM test) t ON f.series_id = t.series_id AND f.dt >= t.dt""")
+def b25_asof_join(spark, d):
+    """Forecasts by calendar day with the last true value at or before it, two days back at most."""
+    past, test = relational.split(_series(spark, d))
+    began = past.groupBy(F.col("store").alias("series_id")).agg(F.max("dt").alias("__began"))
+    f = forecast.seasonal_naive(past, 90).join(began, "series_id").select("series_id", "step", F.date_add(F.date_add("__began", 1), F.col("step").cast("int")).alias("dt"), "median")
+    return timed.asof_join(f, test.select(F.col("store").alias("series_id"), "dt", "sales"), "dt", ["series_id"], tolerance=2)
+
+
+_RUNS = """(SELECT store, min(dt) AS first, max(dt) AS last, count(*) AS days FROM (
+    SELECT store, dt, dt - (row_number() OVER (PARTITION BY store ORDER BY dt))::INT AS island FROM flagged WHERE flag = 0) GROUP BY store, island)"""
+
+
+@query(f"""SELECT o.o_orderkey, o.store, o.dt, r.first AS matched_first, r.last AS matched_last, r.days AS matched_days
+  FROM (SELECT o_orderkey, c_nationkey::BIGINT AS store, o_orderdate::DATE AS dt FROM orders JOIN customer ON o_custkey = c_custkey) o
+  JOIN {_RUNS} r ON o.store = r.store AND o.dt BETWEEN r.first AND r.last""")
+def b26_range_join(spark, d):
+    """Orders that came in while their store was closed, with the run of closed days."""
+    customer = series.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("store"))
+    orders = series.table(spark, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "store", F.col("o_orderdate").cast("date").alias("dt"))
+    closed = timed.runs_of(_flags(spark, d).select("store", "dt", "flag"), F.col("flag") == 0)
+    return timed.range_join(orders, closed, "dt", ("first", "last"), ["store"])
+
+
+@query(f"""SELECT a.store, a.first, a.last, a.days, b.store AS matched_store, b.first AS matched_first, b.last AS matched_last, b.days AS matched_days
+  FROM {_RUNS} a JOIN {_RUNS} b ON a.first <= b.last AND b.first <= a.last WHERE a.days >= 3 AND b.days >= 3 AND a.store <> b.store""")
+def b27_interval_join(spark, d):
+    """Runs of three closed days or more of different stores that overlap."""
+    closed = settled(timed.runs_of(_flags(spark, d).select("store", "dt", "flag"), F.col("flag") == 0).filter("days >= 3"))
+    return timed.overlap_join(closed, closed, ("first", "last"), ("first", "last")).filter("store <> matched_store")
+
+
+_LEVELS = (("run", "context_len"), ("run", "region"), ("run", "store"), ("region",), ())
+
+
+@query("""SELECT run, context_len::BIGINT AS context_len, region, store, grouping_id(run, context_len, region, store)::BIGINT AS grouping_id, count(*) AS steps,
+  round(2 * sum(""" + " + ".join(f"greatest({q}::DOUBLE * (y_true - {c}), ({q}::DOUBLE - 1) * (y_true - {c}))" for c, q in evaluate.QUANTILES) + """) / (sum(abs(y_true)) + 1e-9) / 3, 6) AS wql, round(avg(abs(y_true - median)), 3) AS mae
+  FROM (SELECT run, 0 AS context_len, series_id AS store, step, p10, median, p90 FROM forecasts WHERE run IN ('univariate', 'covariate', 'time_shift') AND step < 30
+    UNION ALL SELECT 'univariate', context_len, series_id, step, p10, median, p90 FROM context_forecast) f
+  JOIN (SELECT series_id AS store, step, y_true FROM truth) t USING (store, step) JOIN store_dim USING (store)
+  GROUP BY GROUPING SETS ((run, context_len), (run, region), (run, store), (region), ())""")
+def e15_score_levels(spark, d):
+    """Scores by run and context, region, store, by region and in all, from one aggregate; context 0 is the whole past."""
+    rows = _series(spark, d)
+    past, test = relational.split(rows)
+    whole = runs.forecast_runs(rows, only=("univariate", "covariate", "time_shift")).withColumn("context_len", F.lit(0).cast("long"))
+    cut = runs.context_forecasts(past).withColumn("run", F.lit("univariate"))
+    both = whole.unionByName(cut).join(runs.truth(test), ["series_id", "step"]).withColumnRenamed("series_id", "store")
+    out = evaluate.score_levels(both.join(series.store_dim(spark, d).select("store", "region"), "store"), _LEVELS)
+    return out.withColumns({"wql": F.round("wql", 6), "mae": F.round("mae", 3), "grouping_id": F.col("grouping_id").cast("long")})
+
+
+@query("""SELECT past.store AS series_id, step, round(sales + low, 6) AS p10, round(sales, 6) AS median, round(sales + high, 6) AS p90
+  FROM past JOIN (SELECT store, quantile_disc(d, 0.1) AS low, quantile_disc(d, 0.9) AS high FROM (SELECT store, sales - lag(sales, 7) OVER (PARTITION BY store ORDER BY idx) AS d FROM past) GROUP BY store) USING (store)
+  JOIN (SELECT store, count(*) AS m FROM past GROUP BY store) USING (store) JOIN steps ON past.idx - (m - 7) = step % 7 WHERE past.idx >= m - 7 AND step < 30""")
+def e16_sketch_forecast(spark, d):
+    """The seasonal forecast with bounds from quantile sketches kept per month and merged."""
+    past = _past(spark, d)
+    kept = settled(sketches.residual_sketches(past))
+    return sketches.forecast_from(relational.tail(past, 7).select("store", "step", "sales"), kept)
+
+
+@query("""SELECT event_type, count(DISTINCT user_id) AS users, 1::BIGINT AS within FROM events GROUP BY event_type""")
+def e17_distinct_sketches(spark, d):
+    """Users of each event type: the exact number, and whether the estimate from daily sketches lies within its error of that."""
+    events = series.table(spark, d, "events").select("event_type", "user_id", F.col("ts").cast("date").alias("day"))
+    estimate = sketches.merged_distinct(sketches.distinct_sketches(events, "user_id", ["event_type", "day"]), ["event_type"])
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    off = F.abs(F.col("distinct") - F.col("users")) / F.col("users")
+    return exact.join(estimate, "event_type").select("event_type", "users", (off <= 3 * 1.04 / 2 ** (sketches.BITS / 2)).cast("long").alias("within"))
+
+
+@query("""SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS events, (sum(round(value * 1000)::BIGINT)::BIGINT)::DOUBLE / 1000::DOUBLE AS amount FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS nth FROM (
+    SELECT *, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR IS NOT TRUE)::INT AS fresh FROM events)) GROUP BY user_id, nth""")
+def h1_sessions(spark, d):
+    out = sessions.sessions(series.table(spark, d, "events"), gap="6 hours")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "last")})
+
+
+@query(SQL["g7_hosted_model"].partition("SELECT past.store AS series_id")[1] + SQL["g7_hosted_model"].partition("SELECT past.store AS series_id")[2])
+def g9_table_function(spark, d):
+    """The hosted model as a table function in SQL."""
+    table.register_forecast(spark, forecast.repeated_season())
+    _past(spark, d).createOrReplaceTempView("past_rows")
+    out = spark.sql("SELECT * FROM forecast(TABLE(SELECT store, idx, sales FROM past_rows) PARTITION BY store ORDER BY idx)")
+    return out.select("series_id", "step", *[F.round(c, 3).alias(c) for c in ("p10", "median", "p90")])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WQL of the seasonal model per series, for series long enough to split."""
     past, test = relational.split(runs.processed(spark, sf_dir, 37))
