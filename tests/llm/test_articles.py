@@ -52,6 +52,33 @@ def test_pages_in_wrappers_keep_their_text(page):
     assert articles.main_text(f"<html><body>{page.format(LONG)}</body></html>") == LONG.strip()
 
 
+@pytest.mark.parametrize("name", ["entry-content social", "content widget", "post related", "share-price", "search results", "ad-free", "login-required", "article-body comments-enabled", "promo", "comments"])
+@pytest.mark.parametrize("frame", ["<article><h1>T</h1>{}</article>", "<main><h1>T</h1>{}</main>", "<main><article><h1>T</h1>{}</article></main>", "<div class=ad>no</div><article><h1>T</h1><div>{}</div></article><footer>no</footer>"])
+def test_marked_parts_that_carry_the_article_stay(name, frame):
+    for attribute in ("class", "id"):
+        assert articles.main_text("<body>" + frame.format(f"<div {attribute}='{name}'>{LONG}</div>") + "</body>") == f"T {LONG}".strip()
+    inner = f"<div class='{name}'><p>{LONG}</p><div class=related>{LONG[:60]}</div></div>"
+    assert articles.main_text(frame.format(inner)) == f"T {LONG}".strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<main><div id=social>{LONG}</div></main>", LONG),
+        (f"<article><form>{LONG}</form></article>", LONG),
+        (f"<article><form><h1>T</h1><p>{LONG}</p><input></form></article>", f"T {LONG}"),
+        (f"<article><p>{LONG[:30]}</p><div class='entry-content social'><p>{LONG}</p></div></article>", f"{LONG[:30]} {LONG}"),
+        # Parts that carry nothing go as before, and what readers write goes though it is longer.
+        (f"<article><p>{LONG}</p><form>{LONG[:40]}</form><div class=promo>{LONG[:40]}</div></article>", LONG),
+        (f"<article><p>{LONG}</p><div class=comments><p>{LONG * 5}</p></div></article>", LONG),
+        (f"<main><article><p>{LONG}</p></article><div class=comments><p>{LONG * 5}</p></div></main>", LONG),
+        (f"<article><p>{LONG}</p><section id=disqus_thread><p>{LONG * 5}</p></section></article>", LONG),
+    ],
+)
+def test_what_stays_of_an_article(page, want):
+    assert " ".join(articles.main_text(page).split()) == " ".join(want.split())
+
+
 #: Pages whose parts are marked by nothing but their density.
 UNMARKED = [
     f"<body><div><div><a href=/1>One</a><a href=/2>Two</a><a href=/3>Three</a><a href=/4>Four</a></div><div id=x><p>{LONG}</p><p>{LONG}</p></div><div><a href=/t>Terms</a><a href=/i>Imprint</a></div></div></body>",

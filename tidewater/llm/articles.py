@@ -28,8 +28,13 @@ SIBLING = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": (
 #: Cut as a marked part is, for some pages lie in one form as a whole.
 WRAPPING = frozenset(["form"])
 SAYING = frozenset(["p", "h1", "h2", "h3", "blockquote", "pre"])
+PARAGRAPHS = frozenset(["p", "blockquote", "pre"])
+#: Unlinked characters in paragraphs that make an article of what stands beside its readers' comments.
+ENOUGH = 80
 #: Words of class, id or role, between separators, that mark parts which are no article.
 MARKS = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|sidebar|side-bar|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-header|page-header|comments?|commentlist|disqus|respond|reply|replies|related|recommended|share|sharing|social|subscribe|newsletter|signup|login|search|skip|toolbar|widget|pagination|pager|complementary|contentinfo|alert)(?:$|[\s_-])")
+#: Names that as a whole say that a part is what readers wrote.
+TALK = re.compile(r"(?i)comments?(?:[-_](?:list|section|area|thread|wrapper))?|commentlist|disqus(?:[-_]thread)?|respond|reply|replies")
 MODIFIER = re.compile(r"(?i)(?:has|have|no|not|with|without)[-_]")
 TAG_SIGN = re.compile(r"[>\"']")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -37,10 +42,10 @@ ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked", "holds", "plain", "depth", "block", "said")
+    __slots__ = ("tag", "up", "items", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked", "talk", "holds", "plain", "told", "depth", "block", "said")
 
-    def __init__(self, tag: str, up: Node | None, cut: bool = False, marked: bool = False):
-        self.tag, self.up, self.items, self.cut, self.marked = tag, up, [], cut, marked
+    def __init__(self, tag: str, up: Node | None, cut: bool = False, marked: bool = False, talk: bool = False):
+        self.tag, self.up, self.items, self.cut, self.marked, self.talk = tag, up, [], cut, marked, talk
         self.depth = up.depth + 1 if up else 0
         #: The nearest node around that is not inline, or this one.
         self.block = up.block if up and tag in INLINE else self
@@ -72,37 +77,55 @@ def _marked(tag: str, rest: str) -> bool:
     return False
 
 
+def _talk(rest: str) -> bool:
+    return any(name.lower() in ("class", "id") and any(TALK.fullmatch(x) for x in next((v for v in values if v), "").split()) for name, *values in ATTRIBUTE.findall(rest))
+
+
+def _carries(part: Node, article: Node) -> bool:
+    """Whether a marked part of an article holds most of its unlinked characters; readers' comments don't count where paragraphs stand beside them."""
+    return 2 * part.plain > article.plain and not (part.talk and article.told - part.told >= ENOUGH)
+
+
 def _cut_marked(root: Node) -> None:
-    """Cuts marked parts, but none that holds an article or main if none stands outside or, on a page without, most of its unlinked characters (a form only if they stand in paragraphs or headings)."""
-    order, stack = [], [(root, False)]
+    """Cuts marked parts, but none that holds an article or main if none stands outside, none that carries the article it lies in, and, on a page without, none with most of its unlinked characters (a form only if they stand in paragraphs or headings)."""
+    order, stack = [], [(root, False, False)]
     while stack:
-        node, linked = stack.pop()
-        linked = linked or node.tag == "a"
+        node, linked, told = stack.pop()
+        linked, told = linked or node.tag == "a", told or node.tag in PARAGRAPHS
         order.append(node)
         node.holds = node.tag in ("article", "main")
         node.plain = 0 if linked else sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
-        stack += [(x, linked) for x in node.items if isinstance(x, Node) and not x.cut]
+        node.told = node.plain if told else 0
+        stack += [(x, linked, told) for x in node.items if isinstance(x, Node) and not x.cut]
     for node in reversed(order):
         for x in node.items:
             if isinstance(x, Node) and not x.cut:
                 node.holds = node.holds or x.holds
                 node.plain += x.plain
+                node.told += x.told
         node.said = node.tag in SAYING and node.plain > 0 or any(x.said for x in node.items if isinstance(x, Node) and not x.cut)
-    named, stack = False, [root]
+    named, stack = False, [(root, None)]
     while stack:
         # What no mark surrounds, and the outermost marked parts; then on within those that are kept.
         outer = []
         while stack:
-            node = stack.pop()
+            node, article = stack.pop()
             if node.marked:
-                outer.append(node)
+                outer.append((node, article))
                 continue
-            named = named or node.tag in ("article", "main")
-            stack += [x for x in node.items if isinstance(x, Node) and not x.cut]
-        for x in outer:
-            if not named and (x.holds if root.holds else 2 * x.plain > root.plain and (x.said or x.tag not in WRAPPING)):
+            if node.tag in ("article", "main"):
+                named, article = True, node
+            stack += [(x, article) for x in node.items if isinstance(x, Node) and not x.cut]
+        for x, article in outer:
+            if article is not None:
+                kept = _carries(x, article)
+            elif named:
+                kept = False
+            else:
+                kept = x.holds if root.holds else 2 * x.plain > root.plain and (x.said or x.tag not in WRAPPING)
+            if kept:
                 x.marked = False
-                stack.append(x)
+                stack.append((x, article))
             else:
                 x.cut = True
 
@@ -211,7 +234,8 @@ def parse(page: str) -> Node:
             continue
         tree.begin(name)
         rest = page[found.end() : at]
-        child = Node(name, tree.node, _cut(name, rest, bool(tree.open.get("article"))), _marked(name, rest))
+        marked = _marked(name, rest)
+        child = Node(name, tree.node, _cut(name, rest, bool(tree.open.get("article"))), marked, marked and _talk(rest))
         tree.node.items.append(child)
         if name in RAW:
             end = re.compile(rf"(?i)</{name}[\s/>]").search(page, at)
