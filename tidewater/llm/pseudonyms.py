@@ -187,15 +187,20 @@ def _date(m: Column, key: str, back: bool, form: Column | str) -> Column:
 
 def _cards(groups: Column) -> Column:
     """(begin, size) of the cards in a run of digit groups with their separators, in order; none overlap."""
+    return _let(F.transform(groups, lambda g: F.length(F.regexp_replace(g, "[^0-9]", ""))), lambda lengths: _cards_among(groups, lengths))
+
+
+def _cards_among(groups: Column, lengths: Column) -> Column:
     least, most = CARD_DIGITS
-    span = lambda i, n: F.array_join(F.slice(groups, i + 1, n), "")
+    # Element by element: a slice copies the whole run each time.
+    span = lambda i, n: F.array_join(F.transform(F.sequence(i, i + n - 1), lambda j: F.get(groups, j)), "")
 
     def sizes(i):
         """Numbers of groups from group i on that are a valid card, longest first."""
 
         def valid(n):
-            digits = _digits(span(i, n))
-            return F.size(digits).between(least, most) & (_luhn(digits) == 0)
+            many = F.aggregate(F.sequence(i, i + n - 1), F.lit(0), lambda sum_, j: sum_ + F.get(lengths, j))
+            return many.between(least, most) & (_luhn(_digits(span(i, n))) == 0)
 
         return F.filter(F.sequence(F.least(F.lit(most), F.size(groups) - i), F.lit(1), F.lit(-1)), valid)
 
@@ -208,9 +213,9 @@ def _cards(groups: Column) -> Column:
         own = F.array_min(F.filter(at(i), lambda n: printed(i, n)))
         # Not one that reaches into a printed card beginning later.
         free = F.get(F.filter(at(i), lambda n: ~F.exists(F.sequence(i, i + n - 1), lambda j: (j > i) & F.exists(at(j), lambda k: printed(j, k)))), 0)
-        chosen = F.coalesce(own, free)
-        fits = (i >= state["upto"]) & chosen.isNotNull()
-        return F.when(fits, F.struct(state["all"].alias("all"), (i + chosen).alias("upto"), F.concat(state["taken"], F.array(F.struct(i.alias("begin"), chosen.alias("size")))).alias("taken"))).otherwise(state)
+        taken = lambda chosen: F.struct(state["all"].alias("all"), (i + chosen).alias("upto"), F.concat(state["taken"], F.array(F.struct(i.alias("begin"), chosen.alias("size")))).alias("taken"))
+        found = _let(F.coalesce(own, free), lambda chosen: F.when(chosen.isNotNull(), taken(chosen)).otherwise(state))
+        return F.when((i >= state["upto"]) & (F.size(at(i)) > 0), found).otherwise(state)
 
     places = F.sequence(F.lit(0), F.size(groups) - 1)
     start = F.struct(F.transform(places, sizes).alias("all"), F.lit(0).alias("upto"), F.array().cast("array<struct<begin:int,size:int>>").alias("taken"))
@@ -225,7 +230,7 @@ def _run(m: Column) -> Column:
     """(text, value) of the pieces of a run of digit groups: cards, and between them values of other kinds and what stays."""
 
     def pieces(groups):
-        text = lambda begin, end: F.array_join(F.slice(groups, begin + 1, end - begin), "")
+        text = lambda begin, end: F.when(end > begin, F.array_join(F.transform(F.sequence(begin, end - 1), lambda j: F.get(groups, j)), "")).otherwise("")
 
         def around(cards):
             after = lambda i: F.coalesce(F.get(cards, i)["begin"] + F.get(cards, i)["size"], F.lit(0))
@@ -285,6 +290,7 @@ def pseudonymised(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     each = F.transform(cut, lambda run: F.transform(run, lambda x: F.struct(x["text"].alias("old"), F.when(x["value"], pseudonym(x["text"], key, back)).otherwise(x["text"]).alias("new"))))
     out = out.withColumn(new, F.when(F.size(found) > 0, each).otherwise(F.array().cast("array<array<struct<old:string,new:string>>>")))
     out = out.withColumn(parts, F.when(F.size(found) > 0, F.split("text", ANY, -1)).otherwise(none))
-    joined = F.array_join(F.transform(F.col(parts), lambda p, i: F.concat(p, F.coalesce(F.array_join(F.transform(F.get(F.col(new), i), lambda x: x["new"]), ""), F.lit("")))), "")
+    # Both arrays are bound once, whichever columns are read; the last part has no value behind it.
+    joined = F.array_join(F.zip_with(parts, new, lambda p, run: F.concat(p, F.coalesce(F.array_join(F.transform(run, lambda x: x["new"]), ""), F.lit("")))), "")
     changed = F.size(F.filter(F.flatten(new), lambda x: x["old"] != x["new"]))
     return out.withColumn("n_replaced", changed.cast("long")).withColumn("text", F.when(F.size(found) > 0, joined).otherwise(F.col("text"))).drop(found, new, parts)
