@@ -110,7 +110,7 @@ def test_repeated_words_stay_small(spark, docs_of):
     index = leaks.Index([7], pa.array(["same " * 400]))
     ((_, words),) = leaks.W.chunks(leaks._lower(pa.array(["same " * 12000])), leaks.W.not_alphanumeric())
     diagonals = index._diagonals(words, words.row())
-    assert len(diagonals) < 12400 + 3 * len(leaks.MASKS)
+    assert len(diagonals) < 12400 + 4 * len(leaks.MASKS)
     assert index.hits(words)[0][7][1] - index.hits(words)[0][7][0] == 400
 
 
@@ -138,6 +138,30 @@ def test_leaks_like_brute_force(spark, docs_of):
         assert got[i] == brute_leaks(items, text)
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 18, 20, 24, 25, 30, 40])
+def test_no_passage_of_the_least_share_is_lost(n):
+    """Every way to change as many words as the rule allows (or 400 of them), inside a longer text."""
+    import itertools
+    import math
+
+    import pyarrow as pa
+
+    rng, k = random.Random(n), int(n * (1 - leaks.LEAST_EQUAL) + 1e-9)
+    ways = list(itertools.combinations(range(n), k)) if math.comb(n, k) < 3000 else [tuple(rng.sample(range(n), k)) for _ in range(400)]
+    index = leaks.Index([7], pa.array([" ".join(f"w{i}" for i in range(n))]))
+    texts = [" ".join(["before"] * 3 + [f"x{i}" if i in gone else f"w{i}" for i in range(n)] + ["after"] * 3) for gone in ways]
+    found = 0
+    for _, words in leaks.W.chunks(leaks._lower(pa.array(texts)), leaks.W.not_alphanumeric()):
+        hits = index.hits(words)
+        found += len(hits)
+        assert all(h[7][1] - h[7][0] >= min(n, leaks.LEAST_WORDS) for h in hits.values())
+    assert found == len(ways)
+    more = [" ".join(f"x{i}" if i < k + 1 else f"w{i}" for i in range(n))]  # at one end, a word more: too few equal if it must be whole
+    if n < leaks.LEAST_WORDS:
+        ((_, words),) = leaks.W.chunks(leaks._lower(pa.array(more)), leaks.W.not_alphanumeric())
+        assert not index.hits(words)
+
+
 def test_an_index_is_made_once_for_all_that_is_held(monkeypatch):
     import pyarrow as pa
 

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from . import words as W
 from .scratch import filesystem, place, tidied
 
-#: Seven words of eleven, in shapes that overlap little with themselves when shifted.
-MASKS = ("11101100101", "11010011011", "10110101011")
+#: Six words each. However two words of 12, three of 15-18 or four of 20 are changed, one of these shapes finds a place between them.
+MASKS = ("1111011", "1010001111", "1111000101", "111010101")
+#: For items shorter than a stretch must be: two changed words of 10 or 11, one of 5-9, leave one of these. Shorter ones are looked up as a whole.
+SHORT_MASKS, WHOLE_WORDS = ("111", "11011"), 5
 #: Benchmark texts of more bytes than this are dealt to blocks, one in memory at a time.
 BLOCK_BYTES = 32 << 20
 #: Hits looked at together.
@@ -59,21 +61,23 @@ def _longest(same: np.ndarray) -> tuple[int, int]:
 
 
 class Index:
-    """Seeds of benchmark items. Items shorter than a mask are one seed as a whole."""
+    """Seeds of benchmark items: of long ones by one set of masks, of short ones by another; the shortest are one seed as a whole."""
 
     def __init__(self, ids: list, texts):
         self.ids, self.items = ids, []
         for _, words in W.chunks(_lower(texts), W.not_alphanumeric()):
             self.items += [words.hash[i:j] for i, j in zip(words.first, words.last, strict=True)]
-        self.tables = [self._table(lambda h, m=m: _seeds(h, m)) for m in MASKS]
+        long = [len(x) >= LEAST_WORDS for x in self.items]
+        short = [WHOLE_WORDS <= len(x) < LEAST_WORDS for x in self.items]
+        self.tables = [(m, *self._table(m, some)) for masks, some in ((MASKS, long), (SHORT_MASKS, short)) if any(some) for m in masks]
         #: By length: hash of all words of short items.
         self.short: dict = {}
         for i, item in enumerate(self.items):
-            if 0 < len(item) < len(MASKS[0]):
+            if 0 < len(item) < WHOLE_WORDS:
                 self.short.setdefault(len(item), {}).setdefault(int(W.grams(item, len(item))[0][0]), []).append(i)
 
-    def _table(self, seeds):
-        found = [seeds(x) for x in self.items]
+    def _table(self, mask: str, some: list[bool]):
+        found = [_seeds(x if there else x[:0], mask) for x, there in zip(self.items, some, strict=True)]
         key = np.concatenate([*found, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(found)), [len(x) for x in found])
         at = np.concatenate([*(np.arange(len(x)) for x in found), np.zeros(0, int)]).astype(int)
@@ -90,7 +94,7 @@ class Index:
     def _diagonals(self, words: W.Words, row: np.ndarray) -> np.ndarray:
         """Distinct (row, item, place of the item's first word) of all hits, one a line."""
         found = [np.zeros((0, 3), np.int64)]
-        for mask, (every, heads, near, shift) in zip(MASKS, self.tables, strict=True):
+        for mask, every, heads, near, shift in self.tables:
             seeds = _seeds(words.hash, mask)
             place = np.flatnonzero(near[(seeds >> shift).astype(np.int64)])
             place = place[row[place] == row[place + len(mask) - 1]] if len(place) else place
