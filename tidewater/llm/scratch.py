@@ -42,15 +42,23 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: Arrow's, then the C library's where it can."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
+
+
 def tidied(run):
     """run, a function over the batches of a task; after the last, freed memory goes back to the system, as workers are kept for later tasks."""
 
     def whole(batches):
-        import ctypes
-
         yield from run(batches)
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:  # only some C libraries have it
-            trim(0)
+        trim()
 
     return whole

@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import filesystem, place, tidied
+from .scratch import filesystem, place, tidied, trim
 
 END_ID = 1
 #: Distinct parts remembered between batches, and encoded in one call.
 REMEMBERED, CALL = 600_000, 4096
+#: Bytes of text worked on at once, each of which takes some hundred bytes meanwhile.
+CHUNK = 1 << 17
 NO_ID = -(1 << 63)
 
 
@@ -122,6 +124,8 @@ class Encoder:
         self.kind = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        del vocabulary
+        trim()  # reading the file takes more than what stays of it
         self.classes, self.breaks = _classes(), W.white_space()
         self.known = Known(self.kind)
 
@@ -178,7 +182,7 @@ class Encoder:
 
     def __call__(self, column):
         """(first row, ids of the rows one after another, how many each row has), chunk by chunk."""
-        for low, words in W.chunks(column, self.breaks):
+        for low, words in W.chunks(column, self.breaks, CHUNK):
             n = len(words.first)
             if not len(words):
                 yield low, np.zeros(0, self.kind), np.zeros(n, np.int64)
