@@ -112,20 +112,33 @@ class Known:
         self._deal()
 
 
+def _library(path: str) -> tuple:
+    """(tokenizer, type of its ids, which ids end a word), read once a process: read anew for each task, it leaves ever more memory in pieces.
+
+    Functions come to workers with their task, and so would a variable of this
+    module; what outlives a task hangs on the library's own module.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_kept_by_path", {})
+    if path not in kept:
+        library = tokenizers.Tokenizer.from_file(path)
+        vocabulary = library.get_vocab(with_added_tokens=True)
+        kind = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        kept[path] = library, kind, ends
+        del vocabulary
+        trim()  # reading the file takes more than what stays of it
+    return kept[path]
+
+
 class Encoder:
     """Ids of many texts at once."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.kind = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        del vocabulary
-        trim()  # reading the file takes more than what stays of it
+        self.library, self.kind, self.ends = _library(path)
         self.classes, self.breaks = _classes(), W.white_space()
         self.known = Known(self.kind)
 
