@@ -167,3 +167,83 @@ def test_a_cluster_without_a_shared_folder_is_an_error(tmp_path):
     assert shared_folder(Session) == shared_folder(Session) == Session.sparkContext.folder
     Session.conf = {"spark.checkpoint.dir": "hdfs://x/y/"}
     assert shared_folder(Session) == "hdfs://x/y"
+
+
+STUB = """import numpy as np
+
+def make():
+    def predict(target, past, future, horizon, levels):
+        # What a run is told shows in its forecast: the number of covariates, past and ahead.
+        assert all(len(v) == len(target) for v in past.values()) and all(len(v) == horizon for v in future.values())
+        return np.array([[100 * len(past) + len(future) + q + 0 * target[-1]] * horizon for q in levels])
+    return predict
+"""
+
+
+def test_a_model_daily_series_and_contexts(spark, raw, tmp_path):
+    """The command with a model by name: all runs of it, closed days kept, gated forecasts, ablation; then evaluation and figures alone."""
+    (tmp_path / "told_model.py").write_text(STUB)
+    spark.sparkContext.addPyFile(str(tmp_path / "told_model.py"))
+    out = str(tmp_path / "out")
+    batch.main(["--facts", raw[0], "--dimension", raw[1], "--out", out, "--model", "told_model:make", "--daily", "--contexts", "64", "128"])
+    rows = files.read_processed(spark, f"{out}/processed")
+    sizes = {r.store: r["count"] for r in rows.groupBy("store").count().collect()}
+    assert sizes == {1: 170, 2: 165}
+    assert rows.filter("open = 0").count() == 19 and rows.filter("sales is null").count() == 8
+    assert rows.filter("(open = 0) <> (closed_run > 0) or (open = 0) <> (days_to_open > 0) or (open = 0 and promo_effect <> 0)").isEmpty()
+    found = files.read_forecasts(spark, f"{out}/forecasts")
+    value = {r.run: (r.low, r.high, r.n) for r in found.groupBy("run").agg(F.min("median").alias("low"), F.max("median").alias("high"), F.count("*").alias("n")).collect()}
+    # Four columns of the table, three of the daily ones and noise: known ahead are the run's own and the daily ones.
+    want = {"univariate": 0, "long_horizon": 0, "covariate": 705, "noise": 803, "strong_noise": 703, "shuffle": 704, "missing_future": 704, "time_shift": 704, "trend_break": 704, "feature_drop": 503, "partial_mask": 703, "scaling": 703}
+    assert {r: (round(v[0] - 0.5), round(v[1] - 0.5), v[2]) for r, v in value.items() if r != batch.GATED} == {r: (w, w, 180 if r == "long_horizon" else 60) for r, w in want.items()}
+    closed = rows.filter("open = 0").count()
+    gated = found.filter(F.col("run") == batch.GATED)
+    states = spark.read.parquet(f"{out}/mae_open_closed").filter(F.col("run") == batch.GATED).collect()
+    assert closed and gated.count() == 60 and gated.filter("median = 0").count() == gated.filter("median < 700").count() > 0 and all(r.mae_closed == 0 and r.mae_open > 0 for r in states)
+    assert {r.context_len: r["count"] for r in files.read_forecasts(spark, f"{out}/context_forecasts").groupBy("context_len").count().collect()} == {64: 60, 128: 60}
+    assert spark.read.option("header", True).csv(f"{out}/best_context").count() == 2 and spark.read.parquet(f"{out}/context_scores").count() == 4
+    # What is there is enough for the other commands.
+    import shutil
+
+    for name in ("report", "scores", "figures", "plot_selection"):
+        shutil.rmtree(tmp_path / "out" / name)
+    batch.main(["evaluate", "--out", out])
+    batch.main(["figures", "--out", out])
+    assert spark.read.parquet(f"{out}/scores").count() == 26 and spark.read.text(f"{out}/report").first()[0] == report.TITLE
+    assert (tmp_path / "out" / "figures" / f"figure=compare_{batch.GATED}").is_dir()
+
+
+def test_no_series_is_an_error_of_the_job_that_writes(spark, raw, tmp_path):
+    with pytest.raises(ValueError, match="no series"):
+        batch.run(spark, *raw, str(tmp_path / "out"), shortest=1000)
+    for command in (["evaluate"], ["figures"]):
+        with pytest.raises(ValueError, match="nothing to read"), pytest.warns(UserWarning, match="missing"):
+            batch.main([*command, "--out", str(tmp_path / "none")])
+
+
+def test_forecasts_of_csv_trees(spark, tmp_path):
+    """Names give run and series, folders the context, the order of rows the step; other files are not opened."""
+    folder = tmp_path / "tree"
+    (folder / "ctx_128").mkdir(parents=True)
+    rng = random.Random(7)
+    truth = {s: [100 + rng.randrange(50) for _ in range(40)] for s in (0, 12)}
+    made = {(r, s): [(y - 10 + k, y + k, y + 12 + k) for y in truth[s]] for s in truth for k, r in enumerate(("univariate", "covariate", "noise"))}
+    name = lambda run, s: run + ("_output" if run == "noise" else "") + (f"_store_{s}" if s else "") + ".csv"
+    for (run, s), rows in made.items():
+        (folder / name(run, s)).write_text("p10,median,p90\n" + "".join(f"{a},{b},{c}\n" for a, b, c in rows))
+    for s, ys in truth.items():
+        (folder / name("ground_truth", s)).write_text("y_true\n" + "".join(f"{y}\n" for y in ys))
+    (folder / "ctx_128" / "univariate_store_12.csv").write_text("p10,median,p90\n1,2,3\n")
+    (folder / "other_store_12.csv").write_text("a,b\n1,2\n")
+    got = files.read_forecast_files(spark, str(folder), "univariate", "covariate", "noise")
+    rows = {(r.run, r.series_id, r.context_len, r.step): (r.p10, r["median"], r.p90) for r in got.collect()}
+    assert rows.pop(("univariate", 12, 128, 0)) == (1, 2, 3)
+    assert rows == {(run, s, None, i): x for (run, s), part in made.items() for i, x in enumerate(part)}
+    assert {f.rsplit("/", 1)[1] for f in files.read_forecast_files(spark, str(folder), "noise").inputFiles()} == {"noise_output.csv", "noise_output_store_12.csv"}
+    batch.evaluation(spark, str(tmp_path / "out"), str(folder))
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/out/report").collect()]
+    assert lines[lines.index("> Noise vs Covariates") + 1] == "MAE: 1.0000" and "> Scaling vs Covariates" not in lines
+    loss = lambda y, f, q: max(q * (y - f), (q - 1) * (y - f))
+    ys = [(y, *x) for s in truth for y, x in zip(truth[s], made["univariate", s], strict=True)]
+    wql = 2 * sum(loss(y, a, 0.1) + loss(y, b, 0.5) + loss(y, c, 0.9) for y, a, b, c in ys) / sum(y for y, *_ in ys) / 3
+    assert lines[lines.index("> Univariate vs Ground Truth") + 1] == f"WQL: {wql:.4f}"

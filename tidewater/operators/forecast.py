@@ -96,9 +96,6 @@ def task_shapes(task_rows: DataFrame, key: str = "store") -> DataFrame:
     return task_rows.select(key, F.size("target").alias("target"), sizes("past_covariates").alias("past_covariates"), sizes("future_covariates").alias("future_covariates"))
 
 
-FORECAST_SCHEMA = "series_id long, step long, quantile double, value double"
-
-
 def hosted(task_rows: DataFrame, load: Callable[[], Callable], horizon: int = 30, levels: Iterable[float] = LEVELS, key: str = "store") -> DataFrame:
     """Forecasts of a model in Python, long: series_id, step, quantile, value.
 
@@ -121,7 +118,7 @@ def hosted(task_rows: DataFrame, load: Callable[[], Callable], horizon: int = 30
                     raise ValueError(f"a model gave {got.shape}, not {(len(levels), horizon)}")
                 yield pd.DataFrame({"series_id": series, "step": np.tile(np.arange(horizon), len(levels)), "quantile": np.repeat(levels, horizon), "value": got.ravel()})
 
-    return task_rows.mapInPandas(run, FORECAST_SCHEMA)
+    return task_rows.mapInPandas(run, f"series_id {dict(task_rows.dtypes)[key]}, step long, quantile double, value double")
 
 
 def widened(long: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,10 +22,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return df.select(*[c for c in header], *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in header])
 
 
-def read_optional(spark: SparkSession, path: str, schema: T.StructType = FORECAST) -> DataFrame | None:
-    """A forecast file; a missing one warns and gives None, an empty one gives None."""
+def read_optional(spark: SparkSession, path: str, schema: T.StructType = FORECAST, fmt: str = "csv") -> DataFrame | None:
+    """A forecast file, or a Parquet table with the schema it has; a missing one warns and gives None, an empty one gives None."""
     try:
-        df = spark.read.schema(schema).option("header", True).csv(path)
+        df = spark.read.schema(schema).option("header", True).csv(path) if fmt == "csv" else spark.read.parquet(path)
         empty = df.isEmpty()
     except AnalysisException:
         warnings.warn(f"missing {path}", stacklevel=2)
@@ -38,9 +38,39 @@ def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_processed(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    writer = df.write.mode("overwrite")
+#: Names of forecast files without their ending: a run, perhaps with _output, perhaps a series. Truth has a name of its own.
+FILE_NAME = r"([^/]+?)(?:_output)?(?:_store_(\d+))?\.csv$"
+TRUTH_FILES = "ground_truth"
+
+
+def read_forecast_files(spark: SparkSession, folder: str, *only: str, schema: T.StructType = FORECAST) -> DataFrame:
+    """run, series_id, context_len, step and the columns of schema from a tree of CSV files, one run and series each.
+
+    Names are <run>.csv or <run>_store_<id>.csv, with _output after the run or not; series_id is 0
+    without a number, context_len is that of a folder ctx_<length>, else null. step
+    counts the rows of a file. With runs named, no other file is opened; truth is read
+    by name and its schema, and left out of forecasts.
+    """
+    patterns = ",".join(f"{r}.csv,{r}_output.csv,{r}_store_[0-9]*.csv,{r}_output_store_[0-9]*.csv" for r in only) or "*.csv"
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{patterns}}}" if only else patterns).csv(folder)
+    path = F.col("_metadata.file_path")
+    rows = raw.select("*", path.alias("__path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    step = F.row_number().over(Window.partitionBy("__path").orderBy("__block", "__at")) - 1
+    part = lambda pattern, i: F.nullif(F.regexp_extract("__path", pattern, i), F.lit("")).cast("long")
+    out = rows.select(F.regexp_extract("__path", FILE_NAME, 1).alias("run"), F.coalesce(part(FILE_NAME, 2), F.lit(0)).alias("series_id"), part(r"/ctx_(\d+)/", 1).alias("context_len"), step.cast("long").alias("step"), *schema.names)
+    return out
+
+
+def read_truth_files(spark: SparkSession, folder: str) -> DataFrame:
+    return read_forecast_files(spark, folder, TRUTH_FILES, schema=TRUTH).drop("run")
+
+
+def write_processed(df: DataFrame, path: str, fmt: str = "parquet") -> int:
+    """Writes df and gives the number of its rows, counted by the job that writes."""
+    seen = Observation("processed")
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
     writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
+    return seen.get.get("rows", 0)
 
 
 def read_processed(spark: SparkSession, path: str, *columns: str, fmt: str = "parquet") -> DataFrame:
