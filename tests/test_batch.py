@@ -1,6 +1,7 @@
 """From CSV files to forecasts and a report, and the parts of it that no query shows."""
 
 import datetime as dt
+import pathlib
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from tidewater import batch
 from tidewater.functions import calendar
 from tidewater.operators import forecast, relational
 from tidewater.plans import report, runs
-from tidewater.plans.settle import settled, shared_folder
+from tidewater.plans.settle import removed_after, settled, shared_folder
 from tidewater.sources import files
 
 
@@ -241,9 +242,19 @@ def test_forecasts_of_csv_trees(spark, tmp_path):
     assert rows == {(run, s, None, i): x for (run, s), part in made.items() for i, x in enumerate(part)}
     assert {f.rsplit("/", 1)[1] for f in files.read_forecast_files(spark, str(folder), "noise").inputFiles()} == {"noise_output.csv", "noise_output_store_12.csv"}
     batch.evaluation(spark, str(tmp_path / "out"), str(folder))
+    assert not list(pathlib.Path(shared_folder(spark).removeprefix("file:")).glob("run-*"))
     lines = [r.value for r in spark.read.text(f"{tmp_path}/out/report").collect()]
     assert lines[lines.index("> Noise vs Covariates") + 1] == "MAE: 1.0000" and "> Scaling vs Covariates" not in lines
     loss = lambda y, f, q: max(q * (y - f), (q - 1) * (y - f))
     ys = [(y, *x) for s in truth for y, x in zip(truth[s], made["univariate", s], strict=True)]
     wql = 2 * sum(loss(y, a, 0.1) + loss(y, b, 0.5) + loss(y, c, 0.9) for y, a, b, c in ys) / sum(y for y, *_ in ys) / 3
     assert lines[lines.index("> Univariate vs Ground Truth") + 1] == f"WQL: {wql:.4f}"
+
+
+def test_settled_tables_of_a_command_are_removed(spark):
+    """Also after an error; tables settled outside stay."""
+    stays = settled(spark.range(3))
+    with pytest.raises(KeyError), removed_after(spark) as folder:
+        assert settled(spark.range(5)).count() == 5 and any(pathlib.Path(folder.removeprefix("file:")).iterdir())
+        raise KeyError
+    assert not pathlib.Path(folder.removeprefix("file:")).exists() and stays.count() == 3

@@ -20,7 +20,7 @@ from tidewater.functions import calendar
 from tidewater.functions.encode import numeric_columns, ordinal
 from tidewater.operators import evaluate, forecast, perturb, relational
 from tidewater.plans import figures, report, runs
-from tidewater.plans.settle import settled
+from tidewater.plans.settle import clearing, settled
 from tidewater.sources import files, series
 
 #: Columns of the fact table and what they are called here.
@@ -78,6 +78,7 @@ def _there(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+@clearing
 def evaluation(spark: SparkSession, out: str, csv: str | None = None) -> None:
     """Writes report and scores under `out` from the forecasts and the truth that are there, or from a tree of CSV files.
 
@@ -96,6 +97,7 @@ def evaluation(spark: SparkSession, out: str, csv: str | None = None) -> None:
     scores.write.mode("overwrite").parquet(f"{out}/scores")
 
 
+@clearing
 def drawn(spark: SparkSession, out: str) -> None:
     """Writes figures (a folder a figure) and plot_selection under `out` from what is there."""
     rows, forecasts, truth = (_there(spark, f"{out}/{name}") for name in ("processed", "forecasts", "ground_truth"))
@@ -116,6 +118,7 @@ def ablation(rows: DataFrame, truth: DataFrame, out: str, lengths: tuple[int, ..
     ranked.orderBy(F.round("mean_wql", 6), "context_len").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/best_context")  # a row a length
 
 
+@clearing
 def run(
     spark: SparkSession,
     facts: str,
