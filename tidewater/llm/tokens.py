@@ -19,6 +19,7 @@ n_tokens of each record, so that records can be read in any order.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 
@@ -31,8 +32,8 @@ from . import words as W
 from .scratch import filesystem, place, tidied, trim
 
 END_ID = 1
-#: Distinct parts remembered between batches, and encoded in one call.
-REMEMBERED, CALL = 600_000, 4096
+#: Distinct parts remembered between batches, and encoded in one call, one by one or as one text.
+REMEMBERED, CALL, JOINED = 600_000, 4096, 512
 #: Bytes of text worked on at once, each of which takes some hundred bytes meanwhile.
 CHUNK = 1 << 17
 NO_ID = -(1 << 63)
@@ -49,25 +50,36 @@ def _classes() -> np.ndarray:
 
 
 class Known:
-    """Parts whose ids are known, found by hash and told apart by all their bytes: an open table of places, twice as large as needed at least."""
+    """Parts whose ids are known, found by hash and told apart by all their bytes: an open table of places, twice as large as needed at least.
+
+    Arrays have room to spare and double when it is used up, so that adding costs
+    what is added, not what is there.
+    """
 
     def __init__(self, kind):
-        self.kind, self.bits = kind, 16
-        self.key, self.size, self.at, self.many = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
-        self.begin = np.zeros(0, np.int64)
-        self.data = np.zeros(0, np.uint8)
-        self.ids = np.zeros(0, kind)
-        self._deal()
+        self.bits, self.steps = 16, 0
+        self.key, self.size, self.many, self.at, self.begin = (np.zeros(1 << 12, t) for t in (np.uint64, np.int32, np.int32, np.int64, np.int64))
+        self.data, self.ids = np.zeros(1 << 16, np.uint8), np.zeros(1 << 14, kind)
+        self.parts = self.bytes = self.used = 0
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        self.blocks = self._eight()
 
     def __len__(self) -> int:
-        return len(self.key)
+        return self.parts
 
-    def _deal(self) -> None:
-        while 2 * len(self) > 1 << self.bits:
-            self.bits += 1
-        self.table = np.full(1 << self.bits, -1, np.int32)
-        self.blocks = W.eight(self.data)
-        left = np.arange(len(self), dtype=np.int32)
+    def _eight(self) -> np.ndarray:
+        """For each place the eight bytes from it on as one number: a view, as eight bytes to spare are always there."""
+        return np.ndarray(len(self.data) - W.ROUND + 1, "<u8", self.data, strides=(1,))
+
+    def _put(self, name: str, at: int, new: np.ndarray) -> None:
+        own = getattr(self, name)
+        if at + len(new) > len(own):
+            own = np.concatenate([own[:at], np.zeros(max(len(own), at + len(new)), own.dtype)])
+            setattr(self, name, own)
+        own[at : at + len(new)] = new
+
+    def _deal(self, left: np.ndarray) -> None:
+        """Gives each of some parts the first free slot from its own on."""
         step = 0
         while len(left):
             slot = self._slot(self.key[left], step)
@@ -75,7 +87,7 @@ class Known:
             self.table[slot[free]] = left[free]
             left = left[self.table[slot] != left]
             step += 1
-        self.steps = step
+        self.steps = max(self.steps, step)
 
     def _slot(self, key: np.ndarray, step: int) -> np.ndarray:
         return ((key >> np.uint64(64 - self.bits)).astype(np.int64) + step) & ((1 << self.bits) - 1)
@@ -101,15 +113,21 @@ class Known:
                 break
         return out
 
-    def add(self, key: np.ndarray, texts: list[bytes], ids: list[np.ndarray]) -> None:
-        """Parts that are not known yet, all different."""
-        size, many = np.array([len(t) for t in texts], np.int64), np.array([len(x) for x in ids], np.int64)
-        self.begin = np.concatenate([self.begin, np.cumsum(size) - size + len(self.data)])
-        self.at = np.concatenate([self.at, np.cumsum(many) - many + len(self.ids)])
-        self.key, self.size, self.many = np.concatenate([self.key, key]), np.concatenate([self.size, size]), np.concatenate([self.many, many])
-        self.data = np.concatenate([self.data, np.frombuffer(b"".join(texts), np.uint8)])
-        self.ids = np.concatenate([self.ids, *ids])
-        self._deal()
+    def add(self, key: np.ndarray, texts: list[bytes], ids: np.ndarray, at: np.ndarray, many: np.ndarray) -> None:
+        """Parts that are not known yet, all different; the ids of each are `many` from `at` on."""
+        size, low = np.array([len(t) for t in texts], np.int64), self.parts
+        data = np.frombuffer(b"".join(texts) + bytes(W.ROUND), np.uint8)
+        for name, new in (("key", key), ("size", size), ("many", many), ("at", at + self.used), ("begin", np.cumsum(size) - size + self.bytes)):
+            self._put(name, low, new)
+        self._put("data", self.bytes, data)
+        self._put("ids", self.used, ids)
+        self.blocks = self._eight()
+        self.parts, self.bytes, self.used = low + len(key), self.bytes + len(data) - W.ROUND, self.used + len(ids)
+        if 2 * self.parts > 1 << self.bits:
+            while 2 * self.parts > 1 << self.bits:
+                self.bits += 1
+            self.table, self.steps, low = np.full(1 << self.bits, -1, np.int32), 0, 0
+        self._deal(np.arange(low, self.parts, dtype=np.int32))
 
 
 def _library(path: str) -> tuple:
@@ -174,24 +192,26 @@ class Encoder:
         key = W.hashed(data, start, start + size)
         return data, start, size, key, raw, np.repeat(words.row(), length)[head]
 
-    def _encoded(self, texts: list[str], raw: np.ndarray) -> list:
-        """Ids of each part."""
-        ids: list = [None] * len(texts)
-        whole = np.flatnonzero(raw).tolist()
-        for low in range(0, len(whole), CALL):
-            some = whole[low : low + CALL]
-            for i, e in zip(some, self.library.encode_batch_fast([texts[i] for i in some], add_special_tokens=False), strict=True):
-                ids[i] = np.array(e.ids, self.kind)
-        plain = np.flatnonzero(~raw).tolist()
-        for low in range(0, len(plain), 64):
-            some = plain[low : low + 64]
-            got = np.array(self.library.encode_batch_fast([" ".join(texts[i] for i in some)], add_special_tokens=False)[0].ids, self.kind)
-            cut = np.flatnonzero(self.ends[got]) + 1
-            if len(cut) != len(some):
+    def _encoded(self, texts: list[str], raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each part begin, how many it has)."""
+        out, many = [], np.zeros(len(texts), np.int64)
+        whole, plain = np.flatnonzero(raw), np.flatnonzero(~raw)
+        for some in np.split(whole, range(CALL, len(whole), CALL)):
+            got = [e.ids for e in self.library.encode_batch_fast([texts[i] for i in some.tolist()], add_special_tokens=False)]
+            out += got
+            many[some] = [len(x) for x in got]
+        # Plain parts have ids of their own, which end where a word ends.
+        for some in np.split(plain, range(JOINED, len(plain), JOINED)):
+            got = self.library.encode(" ".join([texts[i] for i in some.tolist()]), add_special_tokens=False).ids if len(some) else []
+            cut = np.flatnonzero(self.ends[got]) + 1 if got else np.zeros(0, np.int64)
+            if len(cut) != len(some) or len(cut) and cut[-1] != len(got):
                 raise ValueError("the vocabulary does not mark the ends of words")
-            for i, x in zip(some, np.split(got, cut[:-1]), strict=True):
-                ids[i] = x
-        return ids
+            out.append(got)
+            many[some] = np.diff(cut, prepend=0)
+        order = np.concatenate([whole, plain])
+        at = np.zeros(len(texts), np.int64)
+        at[order] = np.cumsum(many[order]) - many[order]
+        return np.fromiter(itertools.chain.from_iterable(out), self.kind), at, many
 
     def __call__(self, column):
         """(first row, ids of the rows one after another, how many each row has), chunk by chunk."""
@@ -201,7 +221,7 @@ class Encoder:
                 yield low, np.zeros(0, self.kind), np.zeros(n, np.int64)
                 continue
             data, start, size, key, raw, row = self._parts(words)
-            if len(self.known) > REMEMBERED or len(self.known.data) > REMEMBERED * 16:
+            if len(self.known) > REMEMBERED or self.known.bytes > REMEMBERED * 16:
                 self.known = Known(self.kind)
             blocks = W.eight(data)
             place = self.known.find(blocks, start, size, key)
@@ -213,7 +233,7 @@ class Encoder:
                 for i in fresh.tolist():
                     first.setdefault(blob[start[i] : start[i] + size[i]], i)
                 at = np.fromiter(first.values(), np.int64, len(first))
-                self.known.add(key[at], list(first), self._encoded([x.decode() for x in first], raw[at]))
+                self.known.add(key[at], list(first), *self._encoded([x.decode() for x in first], raw[at]))
                 place[fresh] = self.known.find(blocks, start[fresh], size[fresh], key[fresh])
             many = self.known.many[place]
             begin = np.cumsum(many) - many
