@@ -47,6 +47,25 @@ def test_frames_round_trip_and_find_damage():
             tokens.unframe(bytes(bad))
 
 
+def test_a_damaged_length_is_not_read_by():
+    head = (1 << 62).to_bytes(8, "little") + bytes(4)
+    with pytest.raises(ValueError, match="length"):
+        tokens.payload_size(head)
+    assert tokens.payload_size(tokens.frame(1, np.array([3], np.uint16))[:12]) > 9
+
+
+def test_starts_over_many_tasks_and_shards(spark, docs_of, monkeypatch):
+    """Tasks follow the bytes of text where the session has fewer partitions; starts go on from task to task."""
+    monkeypatch.setattr(tokens, "SHARD_BYTES", 150)
+    monkeypatch.setattr(tokens, "PART_BYTES", 400)
+    rows = [(i, f"text {i} of many " * 4, "s") for i in range(200)]
+    path = scratch.place(spark, "many")
+    got = sorted(tuple(r)[:3] for r in tokens.encode_documents(docs_of(rows), PATH, path).collect())
+    assert [s for _, s, _ in got] == np.cumsum([0, *(n for *_, n in got)])[:-1].tolist()
+    shards = spark.read.parquet(f"{path}/shards").collect()
+    assert len({s.part for s in shards}) > 20 and max(s.piece for s in shards) > 0
+
+
 def test_files_hold_what_was_encoded(spark, docs_of, monkeypatch):
     monkeypatch.setattr(tokens, "SHARD_BYTES", 200)
     rows = [(i * 3, " ".join(["word", "È", "x1"] * (i % 7)), "s") for i in range(60)][::-1]

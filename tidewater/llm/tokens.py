@@ -25,7 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -252,11 +252,18 @@ def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
     return size + masked(size).to_bytes(4, "little") + payload + masked(payload).to_bytes(4, "little")
 
 
+def payload_size(head: bytes) -> int:
+    """The length that the first 12 bytes of a record give; ValueError if their checksum is wrong, so that no damaged length is read by."""
+    if len(head) != 12 or masked(head[:8]) != int.from_bytes(head[8:], "little"):
+        raise ValueError("the length of a record is damaged")
+    return int.from_bytes(head[:8], "little")
+
+
 def unframe(record: bytes) -> tuple[int | None, np.ndarray]:
     """doc_id and ids of one record; ValueError if a length or checksum is wrong."""
-    size = int.from_bytes(record[:8], "little")
+    size = payload_size(record[:12])
     payload = record[12 : 12 + size]
-    if len(record) != size + 16 or masked(record[:8]) != int.from_bytes(record[8:12], "little") or masked(payload) != int.from_bytes(record[12 + size :], "little"):
+    if len(record) != size + 16 or masked(payload) != int.from_bytes(record[12 + size :], "little"):
         raise ValueError("a record is damaged")
     doc_id = int.from_bytes(payload[:8], "little", signed=True)
     return (None if doc_id == NO_ID else doc_id), np.frombuffer(zlib.decompress(payload[9:]), f"<u{payload[8]}")
@@ -264,6 +271,10 @@ def unframe(record: bytes) -> tuple[int | None, np.ndarray]:
 
 #: Bytes of a shard, about; a longer single record makes a longer shard.
 SHARD_BYTES = 32 << 20
+#: Bytes of text that one task sorts and writes, about, where the session's number of shuffle partitions is too low for that.
+PART_BYTES = 1 << 30
+#: Tasks that read records, at most, or as many as wrote them.
+READERS = 4096
 
 
 def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> DataFrame:
@@ -271,8 +282,8 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_
 
     Returns one row a shard: shard (name), part, piece (their order), records, tokens.
     Names are an attempt's own and never written twice: of a task that ran more than
-    once, the listing that Spark takes says which files count; others are no part of
-    the result.
+    once, the listing that Spark commits says which files count; others are no part of
+    the result. The listing is written by the tasks that wrote the shards.
     """
 
     def run(batches):
@@ -314,21 +325,24 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_
 
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, size // PART_BYTES + 1)
     # Equal doc_ids are cut, where they are cut, in the order in which they are sorted.
     order = [F.col("doc_id").asc_nulls_first(), F.md5("text")]
     listing = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tidied(run), "shard string, part int, piece int, records long, tokens long")
-    spark.createDataFrame(listing.collect(), listing.schema).coalesce(1).write.parquet(f"{path}/shards")  # one small row a shard of 32 MB
+    listing.write.parquet(f"{path}/shards")
     return spark.read.schema(listing.schema).parquet(f"{path}/shards")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every record of the files under `path`; every checksum is tested."""
-    shards = sorted((r["part"], r["piece"], r["shard"], r["tokens"]) for r in spark.read.parquet(f"{path}/shards").collect())
-    starts, base = [], 0
-    for _, _, name, tokens in shards:
-        starts.append((name, base))
-        base += tokens
+    shards = spark.read.parquet(f"{path}/shards")
+    # One row a task that wrote goes through the driver, not one a shard.
+    sums = sorted(tuple(r) for r in shards.groupBy("part").agg(F.sum("tokens"), F.count("*")).collect())
+    bases = list(itertools.accumulate([tokens for _, tokens, _ in sums], initial=0))
+    before = Window.partitionBy("part").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    base = spark.createDataFrame([(part, low) for (part, _, _), low in zip(sums, bases, strict=False)], "part int, base long")
+    starts = shards.join(base, "part").select("shard", (F.col("base") + F.coalesce(F.sum("tokens").over(before), F.lit(0))).alias("start"))
 
     def run(batches):
         store, root = filesystem(path)
@@ -337,7 +351,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 out: list = []
                 with store.open_input_stream(f"{root}/{name}.records") as f:
                     while head := f.read(12):
-                        doc_id, ids = unframe(head + f.read(int.from_bytes(head[:8], "little") + 4))
+                        doc_id, ids = unframe(head + f.read(payload_size(head) + 4))
                         out.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         start += len(ids)
                         if len(out) == 4096:
@@ -346,8 +360,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield _rows(out)
 
-    table = spark.createDataFrame(starts, "shard string, start long").repartition(max(1, min(len(starts), 4096)), "shard")
-    return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    many = max(1, min(sum(n for _, _, n in sums), max(READERS, len(sums))))
+    return starts.repartition(many, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(path: str, shard: str, places: list[int]) -> list[tuple[int | None, np.ndarray]]:
