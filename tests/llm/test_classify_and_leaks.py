@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewater.llm import leaks, quality
@@ -225,3 +226,23 @@ def test_long_texts_are_scored_but_not_learned_from(spark, docs_of, monkeypatch)
     short = quality.fit(docs.filter("doc_id <= 40"), labels.filter("doc_id <= 40"))
     assert quality.score(docs, quality.fit(docs, labels)).count() == 60
     assert np.array_equal(quality.fit(docs.filter("doc_id <= 40"), labels.filter("doc_id <= 40"))[0], short[0])
+
+
+def test_accepted_rows_take_little_memory():
+    """A batch of 8 MB: its features and the rows kept are made for some texts at a time, and no row is lost."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 117, 4096))).replace("e", " ") for _ in range(2000)] + [None, "", "x" * 300000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    numbers = rng.normal(0, 1, 1 << quality.BUCKET_BITS).astype(np.float32)
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    kept, most = [], 0
+    for part in quality._kept(batch, 1, (numbers, 0.0), 0.5):
+        most = max(most, pa.total_allocated_bytes() - before)
+        kept += part.column(0).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 < len(kept) < len(texts) and kept == np.flatnonzero(quality._scores(batch.column(1), numbers, 0.0) >= 0.5).tolist()
+    assert most < 4 << 20 and peak < 30 << 20, (most, peak)

@@ -25,6 +25,8 @@ SAMPLE = 1000
 LONGEST = 1 << 14
 THRESHOLD = 0.7
 GRAMS = (3, 4, 5)
+#: Bytes of text whose features a worker holds at once, about.
+CHUNK = 1 << 17
 #: The bucket of a word that follows itself.
 TWICE = 0
 
@@ -124,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 def _scores(batch_texts, numbers: np.ndarray, bias: float) -> np.ndarray:
     breaks = W.white_space()
     out = []
-    for _, words in W.chunks(batch_texts, breaks):
+    for _, words in W.chunks(batch_texts, breaks, CHUNK):
         n = len(words.first)
         total, many = np.zeros(n), np.zeros(n)
         for row, bucket in _features(words, breaks):
@@ -134,6 +136,13 @@ def _scores(batch_texts, numbers: np.ndarray, bias: float) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
+def _kept(batch: pa.RecordBatch, at: int, model: tuple[np.ndarray, float], threshold: float):
+    """The accepted rows of a batch, some rows at a time, so that no second copy of all is made; `at` is the place of its texts."""
+    for low in range(0, batch.num_rows, 256):
+        part = batch.slice(low, 256)
+        yield part.filter(pa.array(_scores(part.column(at), *model) >= threshold))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """doc_id, held_out, score, predicted of every row.
 
@@ -162,6 +171,6 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch.column(at), *sent.value) >= threshold))
+            yield from _kept(batch, at, sent.value, threshold)
 
     return docs.mapInArrow(tidied(run), docs.schema)
